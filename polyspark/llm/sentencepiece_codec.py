@@ -19,6 +19,7 @@ from math import inf
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from polyspark.llm.common import broadcast_value
@@ -214,7 +215,7 @@ def shared_vocabulary(spark: SparkSession, model: str = MODEL):
 
 def slices(batch: pa.RecordBatch, column: str, max_chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a piece has about ``max_chars`` bytes of text: long texts don't add up in memory."""
-    sizes = [0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
         total += n
