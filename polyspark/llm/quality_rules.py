@@ -92,8 +92,9 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "te
         F.when(F.size(ws) >= 3, F.slice(ws, 1, F.greatest(F.lit(0), F.size(ws) - 2))).otherwise(F.array().cast("array<string>")),
         lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)),
     )
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumns({"__words": words, "__lines": lines})
+    worded = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
+    lines = F.split(t, "\n")
+    out = docs.withColumns({"__words": words, "__all": lines, "__lines": F.filter(lines, worded)})
     out = out.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
@@ -102,10 +103,10 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "te
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__hashes": pair(F.col("__words")),
             "__judged": F.transform(
-                "__lines", lambda x: F.struct(x.alias("line"), line_fault(x, p).alias("fault"), F.size(words_of(x)).alias("n"))
+                "__all", lambda x: F.struct(x.alias("line"), F.when(worded(x), line_fault(x, p)).alias("fault"), F.size(words_of(x)).alias("n"))
             ),
         }
-    ).drop("__words")
+    ).drop("__words", "__all")
     out = out.withColumn("__ordered", F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     bad = F.filter("__judged", lambda x: x["fault"].isNotNull())
     out = out.withColumns(

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from polyspark.llm import mixing, quality_rules, sentencepiece_codec, token_output, url_filters
+from polyspark.llm import (
+    embedding_dedup,
+    mixing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    simhash,
+    substring_dedup,
+    token_output,
+    url_filters,
+)
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_simhash": simhash.query,
+        "op3_quality_classifier": quality_classifier.query,
+        "op4_embedding_dedup": embedding_dedup.query,
+        "op5_pii": pii.query,
         "op6_token_output": token_output.query,
         "op7_sentencepiece": sentencepiece_codec.query,
         "op8_url_filters": url_filters.query,
+        "op9_substring_dedup": substring_dedup.query,
         "op10_mixing": mixing.query,
     }
 
