@@ -47,28 +47,32 @@ def partitions_for(rows: int, per_task: int, spark: SparkSession) -> int:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph by repeated contraction to the smallest neighbour.
+    """Components of an undirected graph by repeated contraction.
 
     ``edges`` has long columns ``a`` and ``b`` (rows with nulls and loops are ignored). Returns
     ``(id, component)`` for every id in an edge, ``component`` the smallest id that it can reach.
-    Each round points every node at its smallest neighbour and keeps only edges between different
-    targets; rounds end when no edge is left. All steps are partial aggregations and equi-joins.
+    Each round points every node at the one of itself and its neighbours with the smallest hash, new in each round, and
+    keeps only edges between different targets: whatever the order of ids, long paths shrink by a share.
+    Rounds end when no edge is left. All steps are partial aggregations and equi-joins.
     """
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), "cc-edges")
+    out = edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
     maps = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), c).alias("h"), F.col(c).alias("id"))
+        hop = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("id"), F.least(rank("a"), "m")["id"].alias("to"))
         hop = materialize(hop, "cc-hop")
         maps.append(hop)
         left = hop.select(F.col("id").alias("a"), F.col("to").alias("to_a"))
         right = hop.select(F.col("id").alias("b"), F.col("to").alias("to_b"))
         edges = edges.join(left, "a").join(right, "b").filter("to_a <> to_b")
         edges = materialize(edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "cc-edges")
-    if not maps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    out = maps[-1].select("id", F.col("to").alias("component"))
+    if maps:
+        out = maps[-1].select("id", F.col("to").alias("root"))
     for hop in reversed(maps[:-1]):
-        later = out.select(F.col("id").alias("to"), "component")
-        out = hop.join(later, "to", "left").select("id", F.coalesce("component", "to").alias("component"))
-    return out
+        later = out.select(F.col("id").alias("to"), "root")
+        out = hop.join(later, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+    # a target may have no edge of its own in any later round, so it stands for itself
+    smallest = out.groupBy("root").agg(F.least(F.min("id"), F.first("root")).alias("component"))
+    return out.join(smallest, "root").select("id", "component")

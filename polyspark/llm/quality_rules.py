@@ -119,11 +119,14 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "te
         }
     ).drop("__hashes", "__ordered", "__judged", "__lines")
     failed = (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.max_repeat_percent)
-    return out.withColumn("base_failed", failed).withColumn(
+    out = out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_lost_words") * 100 <= F.col("n_words") * p.max_lost_percent)
     )
+    # a generator of one row: a later filter on the verdict would else be pushed down with all that it is made from
+    return out.select(*[F.col(c) for c in docs.columns if c not in RESULTS], F.inline(F.array(F.struct(*RESULTS))))
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "n_lost_words", "clean_text", "base_failed", "kept")
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines", "n_lost_words")
 
 

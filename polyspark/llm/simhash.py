@@ -146,7 +146,8 @@ def plan(classes: DataFrame, n: int, max_distance: int) -> list[tuple[list[int],
         low = left // parts
         return sum(_cost(n, bits, low + (k < left - low * parts), n * n / 2 / 2.0**bits) for k in range(parts))
 
-    parts = min(range(2, min(8, max_distance + 1) + 1) if max_distance else [1], key=even)
+    # enough partitions for thresholds of up to four bits
+    parts = min(range(max(2, -(-(max_distance + 1) // 5)), min(8, max_distance + 1) + 1) if max_distance else [1], key=even)
     groups = group_bits(bit_correlations(classes), parts)
     keys = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), _key(g).alias("key")) for p, g in enumerate(groups)])).alias("k")
     same = classes.select(keys).groupBy("k.p", "k.key").count().groupBy("p").agg(F.sum(F.expr("count * (count - 1) / 2D")).alias("s"))
