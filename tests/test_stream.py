@@ -1,0 +1,17 @@
+from polyspark.operators import state
+from polyspark.plans import catalogue
+from polyspark.streaming.scan import merge_stream
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stream_gives_the_batch_result(spark, tmp_path):
+    number = F.substring("token", 7, 20).cast("long")
+    rows = catalogue._serialized(spark, SF).withColumns({"scene": F.concat(F.lit("s"), number % 3), "pos": number}).filter("pos < 12")
+    want = {r.scene: r["count"] for r in state.merge_maps(rows, 12.0).groupBy("scene").count().collect()}
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = merge_stream(stream, 12.0).writeStream.outputMode("update").format("memory").queryName("scenes").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.scene: r.n_lines for r in spark.table("scenes").collect()} == want
