@@ -87,14 +87,22 @@ def mask_metrics(pixels: DataFrame, image: str, threshold: float) -> DataFrame:
 def rasterize(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
     """``keys, px``: the pixels ``y * size + x`` within half a ``width`` of each line of ``keys, points``.
 
-    A row for each segment, then for each pixel of its box, as far as it is in the image.
+    A row for each segment, for each image row that it touches, then for each pixel of the stretch that it can reach there.
     """
     half = width / 2
     rows = lines.select(*keys, "points", F.posexplode("points").alias("__i", "p")).select(*keys, "p", F.get("points", F.col("__i") + 1).alias("q")).filter("q IS NOT NULL")
     lo = lambda c: F.greatest(F.lit(0), F.ceil(F.least(f"p.{c}", f"q.{c}") - half)).cast("int")
     hi = lambda c: F.least(F.lit(size - 1), F.floor(F.greatest(f"p.{c}", f"q.{c}") + half)).cast("int")
     rows = rows.filter((lo("x") <= hi("x")) & (lo("y") <= hi("y")))
-    rows = rows.withColumn("__y", F.explode(F.sequence(lo("y"), hi("y")))).withColumn("__x", F.explode(F.sequence(lo("x"), hi("x"))))
+    rows = rows.withColumn("__y", F.explode(F.sequence(lo("y"), hi("y"))))
+    # how far along the segment it is within half a width above and below the row
+    share = lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("__y") + d - F.col("p.y")) / (F.col("q.y") - F.col("p.y"))))
+    flat = F.col("q.y") == F.col("p.y")
+    at = lambda d, else_: F.col("p.x") + F.when(flat, F.lit(else_)).otherwise(share(d)) * (F.col("q.x") - F.col("p.x"))
+    rows = rows.withColumns({"__a": at(-half, 0.0), "__b": at(half, 1.0)})
+    left = F.greatest(F.lit(0), F.ceil(F.least("__a", "__b") - half)).cast("int")
+    right = F.least(F.lit(size - 1), F.floor(F.greatest("__a", "__b") + half)).cast("int")
+    rows = rows.filter(left <= right).withColumn("__x", F.explode(F.sequence(left, right)))
     dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
     norm = dx * dx + dy * dy
     t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("__x") - F.col("p.x")) * dx + (F.col("__y") - F.col("p.y")) * dy) / norm))).otherwise(0.0)
