@@ -65,22 +65,27 @@ def line_fault(line: Column, p: LineRules) -> Column:
     )
 
 
-def _repeat_words(hashes: Column, ordered: Column) -> Column:
-    """Words in windows that occur twice or more: windows sorted by hash, equal neighbours marked, cover counted."""
-    marked = F.transform(
-        ordered,
-        lambda x, i: F.when(
-            (x["h"] == F.get(ordered, i - 1)["h"]) | (x["h"] == F.get(ordered, i + 1)["h"]), x["i"]
-        ).otherwise(F.lit(-1)),
-    )
-    at = F.sort_array(F.filter(marked, lambda x: x >= 0))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words in windows that occur twice or more: windows sorted by hash, equal neighbours marked, cover counted.
+
+    Only texts with an equal pair of windows are sorted.
+    """
+
+    def marked(ordered: Column) -> Column:
+        same = lambda x, i: (x["h"] == F.get(ordered, i - 1)["h"]) | (x["h"] == F.get(ordered, i + 1)["h"])
+        return F.sort_array(F.transform(F.filter(ordered, same), lambda x: x["i"]))
+
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
-    return F.when(
-        F.size(F.array_distinct(hashes)) < F.size(hashes),
-        F.aggregate(
-            at, start, lambda s, x: F.struct((s["n"] + F.least(F.lit(3), x - s["last"])).alias("n"), x.alias("last")), lambda s: s["n"]
-        ),
-    ).otherwise(F.lit(0).cast("long"))
+    step = lambda s, x: F.struct((s["n"] + F.least(F.lit(3), x - s["last"])).alias("n"), x.alias("last"))
+    cover = lambda at: F.aggregate(at, start, step, lambda s: s["n"])
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(some, cover(_let(ordered, marked))).otherwise(F.lit(0).cast("long"))
 
 
 def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "text") -> DataFrame:
@@ -107,17 +112,16 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "te
             ),
         }
     ).drop("__words", "__all")
-    out = out.withColumn("__ordered", F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     bad = F.filter("__judged", lambda x: x["fault"].isNotNull())
     out = out.withColumns(
         {
-            "n_repeat_words": _repeat_words(F.col("__hashes"), F.col("__ordered")),
+            "n_repeat_words": _repeat_words(F.col("__hashes")),
             "n_lines": F.size("__lines").cast("long"),
             "n_bad_lines": F.size(bad).cast("long"),
             "n_lost_words": F.aggregate(bad, F.lit(0).cast("long"), lambda s, x: s + x["n"]),
             "clean_text": F.concat_ws("\n", F.transform(F.filter("__judged", lambda x: x["fault"].isNull()), lambda x: x["line"])),
         }
-    ).drop("__hashes", "__ordered", "__judged", "__lines")
+    ).drop("__hashes", "__judged", "__lines")
     failed = (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.max_repeat_percent)
     out = out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_lost_words") * 100 <= F.col("n_words") * p.max_lost_percent)
