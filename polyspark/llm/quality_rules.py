@@ -47,21 +47,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def line_fault(line: Column, p: LineRules) -> Column:
+def line_fault(line: Column, n_words: Column, p: LineRules) -> Column:
     """The first rule that ``line`` fails, or null."""
-    n_words = F.size(words_of(line))
-    upper, letters = F.regexp_count(line, F.lit(UPPER)), F.regexp_count(line, F.lit(LETTER))
-    bars = F.regexp_count(line, F.lit(BARS))
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    shouts = (count("!") * 100 > n_words * p.max_exclaim_percent) | (count(UPPER) * 100 > count(LETTER) * p.max_upper_percent)
+    bars = lambda n: (n >= p.min_bars) & (n * 100 > n_words * p.max_bar_percent)
     return (
-        F.when(F.regexp_count(line, F.lit(SYMBOLS)) * 100 > F.length(line) * p.max_symbol_percent, "symbols")
-        .when(
-            (F.regexp_count(line, F.lit("!")) * 100 > n_words * p.max_exclaim_percent)
-            & (n_words >= p.min_shout_words)
-            | (n_words >= p.min_shout_words) & (upper * 100 > letters * p.max_upper_percent),
-            "shouting",
-        )
-        .when((bars >= p.min_bars) & (bars * 100 > n_words * p.max_bar_percent), "navigation")
-        .when(F.lower(line).rlike(BOILERPLATE) & (n_words <= p.max_boilerplate_words), "boilerplate")
+        F.when(n_words == 0, F.lit(None))
+        .when(count(SYMBOLS) * 100 > F.length(line) * p.max_symbol_percent, "symbols")
+        .when((n_words >= p.min_shout_words) & shouts, "shouting")
+        .when(_let(count(BARS), bars), "navigation")
+        .when((n_words <= p.max_boilerplate_words) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
     )
 
 
@@ -108,7 +104,8 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "te
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__hashes": pair(F.col("__words")),
             "__judged": F.transform(
-                "__all", lambda x: F.struct(x.alias("line"), F.when(worded(x), line_fault(x, p)).alias("fault"), F.size(words_of(x)).alias("n"))
+                "__all",
+                lambda x: _let(F.size(words_of(x)), lambda n: F.struct(x.alias("line"), line_fault(x, n, p).alias("fault"), n.alias("n"))),
             ),
         }
     ).drop("__words", "__all")
