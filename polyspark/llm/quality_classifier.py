@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,9 +59,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    distinct_words = Counter(words)
     out: list[int] = []
     get = _memo.get
-    for w in words:
+    for w in distinct_words:
         f = get(w)
         if f is None:
             if len(_memo) >= MEMO_WORDS:
@@ -69,9 +71,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             if len(w) <= 64:
                 _memo[w] = f
         out += f
+    times = np.repeat(np.fromiter(distinct_words.values(), np.int64, len(distinct_words)), 2)
+    sums = np.bincount(np.array(out), times, FEATURES).astype(np.int64)
+    at = np.flatnonzero(sums)
+    n = sums[at]
     repeats = sum(map(str.__eq__, words, words[1:]))
-    at, n = np.unique(np.array(out), return_counts=True)
-    distinct = len(set(words)) * 10 // len(words)
+    distinct = len(distinct_words) * 10 // len(words)
     extra = [_slot("repeat"), _slot(f"distinct{distinct}")]
     return np.concatenate([at, extra]), np.concatenate([n, [repeats, len(words) // 4 + 1]])
 
