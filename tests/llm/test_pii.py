@@ -59,6 +59,17 @@ def test_messages_carry_a_label_over_a_skip_link():
     assert alone[1].argmax() == 0
 
 
+def test_one_base_match_reaches_fifty_variants():
+    import numpy as np
+
+    text = "call +4930123456 then " + " and ".join(["49-301-23456", "(49)30123456"] * 25) + " end"
+    weights = np.zeros((pii.N_FEATURES, len(pii.LABELS)))
+    potentials = np.stack([np.zeros((5, 5)), np.eye(5) * 10.0])
+    [(base, added)] = pii.find_spans([text], {"weights": weights, "potentials": potentials})
+    assert [k for k, _, _ in base] == ["phone"]
+    assert len(added) == 50 and {k for k, _, _ in added} == {"phone"}
+
+
 def test_redaction_and_cases(docs, none):
     assert pii.annotate(none, pii.fit(none)).count() == 0
     out = pii.annotate(docs, pii.fit(docs), redact=True)
