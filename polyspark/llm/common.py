@@ -34,6 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for helper columns that no column of ``df`` has."""
+    at = "__"
+    while any(c.lower().startswith(at) for c in df.columns):
+        at += "_"
+    return at
+
+
 def broadcast_value(spark: SparkSession, value, n_bytes: int):
     """Broadcast ``value`` after checking its size against ``BROADCAST_LIMIT``."""
     if n_bytes > BROADCAST_LIMIT:

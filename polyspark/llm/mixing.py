@@ -9,8 +9,9 @@ the shortest prefix that reaches the rest of the budget.
 
 Cases: null domain, language or source is a node named ``(null)``; a node without a listed weight has weight 1;
 weights of zero or less get nothing. Null and empty texts have no tokens: they count as selected only with
-whole epochs. Repeated rows are separate rows. An empty table gives an empty result. Added columns replace any of
-the same name.
+whole epochs. Repeated rows are separate rows; those of equal id and token count in a leaf have the same place in its
+order and are taken together. An empty table gives an empty result. Added columns replace any of the same name; helper
+columns take names that the input lacks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyspark.llm.common import BROADCAST_LIMIT, free_prefix, materialize
 from polyspark.llm.quality_rules import words_of
 
 DOMAIN = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN 'web' WHEN source IN ('src5', 'src6', 'src7', 'src8', 'src9') THEN 'forum' ELSE 'reference' END"
@@ -27,6 +29,8 @@ SEED = 17
 MAX_EPOCHS = 4
 #: Rows of a leaf that one window group holds, about.
 ROWS_PER_BUCKET = 4096
+#: Parts of each leaf where there are too many leaves to broadcast.
+SALTS = 64
 
 LEVELS = ("domain", "lang", "source")
 
@@ -92,33 +96,68 @@ def mix(
     lang_weights: dict | None = None,
     source_weights: dict | None = None,
 ) -> DataFrame:
-    """Adds ``domain``, ``n_tokens`` (words), ``leaf_budget`` and ``copies`` (how often the document is taken) to every row."""
-    keys = {f"__{k}": F.coalesce(F.expr(domain) if k == "domain" else F.col(k), F.lit("(null)")) for k in LEVELS}
-    rows = docs.withColumns(keys | {"n_tokens": F.size(words_of(F.col("text"))).cast("long")})
-    leaves = rows.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("supply"))
-    leaves = leaves.select(*[F.col(f"__{k}").alias(k) for k in LEVELS], "docs", "supply")
+    """Adds ``domain``, ``n_tokens`` (words), ``leaf_budget`` and ``copies`` (how often the document is taken) to every row.
+
+    Texts are read twice, to count words and for the result, and never cross a shuffle: the last document of
+    each leaf's prefix is found on narrow rows, then each row decides for itself by its order key.
+    """
+    at = free_prefix(docs)
+    keys = [f"{at}{k}" for k in LEVELS]
+    docs = docs.drop("leaf_budget", "copies")
+    rows = docs.withColumns(
+        {k: F.coalesce(F.expr(domain) if n == "domain" else F.col(n), F.lit("(null)")) for k, n in zip(keys, LEVELS)}
+        | {"n_tokens": F.size(words_of(F.col("text"))).cast("long"), f"{at}id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+    )
+    narrow = materialize(rows.select(*keys, "n_tokens", f"{at}id"), "mixing-tokens")
+    leaves = narrow.groupBy(*keys).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("supply"))
+    leaves = leaves.select(*[F.col(k).alias(n) for k, n in zip(keys, LEVELS)], "docs", "supply")
     leaves = budgets(leaves, budget, max_epochs, domain_weights or DOMAIN_WEIGHTS, lang_weights or LANG_WEIGHTS, source_weights or {})
     leaves = leaves.select(
-        *[F.col(k).alias(f"__{k}") for k in LEVELS],
+        *[F.col(n).alias(k) for k, n in zip(keys, LEVELS)],
         F.col("budget").alias("leaf_budget"),
-        F.expr("coalesce(try_divide(budget, supply), 0)").cast("long").alias("__epochs"),
-        F.expr("CASE WHEN supply = 0 THEN 0 ELSE budget % supply END").alias("__left"),
+        F.expr("coalesce(try_divide(budget, supply), 0)").cast("long").alias(f"{at}epochs"),
+        F.expr("CASE WHEN supply = 0 THEN 0 ELSE budget % supply END").alias(f"{at}left"),
         # a bucket is a prefix of the order key, longer the more rows the leaf has
-        F.ceil(F.log(F.greatest(F.col("docs") / ROWS_PER_BUCKET, F.lit(1.0))) / F.log(F.lit(16.0))).cast("int").alias("__digits"),
+        F.ceil(F.log(F.greatest(F.col("docs") / ROWS_PER_BUCKET, F.lit(1.0))) / F.log(F.lit(16.0))).cast("int").alias(f"{at}digits"),
     )
-    rows = rows.join(leaves, list(keys))
-    order = F.md5(F.concat_ws(":", F.lit(seed), "__epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "n_tokens"))
-    rows = rows.withColumn("__order", order).withColumn("__bucket", F.substring("__order", F.lit(1), F.col("__digits")))
-    group = [*keys, "__bucket"]
-    sums = rows.groupBy(*group).agg(F.sum("n_tokens").alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    rows = rows.join(sums, group)
-    inside = Window.partitionBy(*group).orderBy("__order", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.col("__start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) < F.col("__left")
-    rows = rows.withColumn("copies", F.col("__epochs") + (taken & (F.col("n_tokens") > 0)).cast("long"))
-    rows = rows.withColumn("domain", F.col("__domain"))
-    return rows.drop(*keys, "__epochs", "__left", "__digits", "__order", "__bucket", "__start")
+    leaves = materialize(leaves, "mixing-leaves")
+    order = F.md5(F.concat_ws(":", F.lit(seed), f"{at}epochs", f"{at}id", "n_tokens"))
+    ordered = _with_leaf(narrow, leaves, keys, at).withColumn(f"{at}order", order)
+    last = _cut_off(ordered.withColumn(f"{at}bucket", F.substring(f"{at}order", F.lit(1), F.col(f"{at}digits"))), keys, at)
+    leaves = materialize(leaves.join(last, keys, "left"), "mixing-leaves")
+    taken = (F.col("n_tokens") > 0) & (order <= F.col(f"{at}last"))
+    rows = _with_leaf(rows, leaves, keys, at).withColumns(
+        {"copies": F.col(f"{at}epochs") + F.coalesce(taken, F.lit(False)).cast("long"), "domain": F.col(keys[0])}
+    )
+    return rows.drop(*[c for c in rows.columns if c.startswith(at)])
+
+
+def _with_leaf(rows: DataFrame, leaves: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Every row with the columns of its leaf: broadcast below the limit, else by salted keys, since one leaf may hold a third of all rows."""
+    size = leaves.agg(F.sum(sum((F.length(k) for k in keys), F.lit(0)) * 4 + 128)).first()[0] or 0
+    if size <= BROADCAST_LIMIT:
+        return rows.join(F.broadcast(leaves), keys)
+    salt = f"{at}salt"
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(f"{at}id", "n_tokens"), F.lit(SALTS)))
+    return rows.join(leaves.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, salt]).drop(salt)
+
+
+def _cut_off(ordered: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``keys, last``: the order key of the last row that a leaf's prefix takes. No row for leaves without one.
+
+    Tokens are summed for each bucket of order keys; the bucket in which the prefix ends is then read row by row.
+    """
+    bucket, left, start = f"{at}bucket", f"{at}left", f"{at}start"
+    sums = ordered.groupBy(*keys, bucket, left).agg(F.sum("n_tokens").alias(start))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(start, F.coalesce(F.sum(start).over(before), F.lit(0))).filter(F.col(start) < F.col(left))
+    ends = sums.groupBy(*keys).agg(F.max(F.struct(bucket, start)).alias("end")).select(*keys, f"end.{bucket}", f"end.{start}")
+    ends = materialize(ends.withColumnRenamed(bucket, f"{at}end"), "mixing-ends")
+    inside = _with_leaf(ordered, ends, keys, at).filter(F.col(bucket) == F.col(f"{at}end"))
+    inside = inside.groupBy(*keys, f"{at}order", left, start).agg(F.sum("n_tokens").alias("n_tokens"))
+    upto = Window.partitionBy(*keys).orderBy(f"{at}order").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("n_tokens", F.col(start) + F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).filter(F.col("n_tokens") < F.col(left))
+    return inside.groupBy(*keys).agg(F.max(f"{at}order").alias(f"{at}last"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

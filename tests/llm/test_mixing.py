@@ -61,3 +61,21 @@ def test_seed_and_budget(docs, none):
 def test_no_python_in_the_plan(docs):
     plan = m.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clashing_names_and_ties(spark):
+    rows = [(None, "a b c", "en", "src1", 9, "x", 1.5)] * 3 + [(7, "a b", "en", "src2", 9, "x", 1.5)] * 2 + [(8, "a b", "en", "src1", 9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, leaf_budget int, `__start` string, `__Epochs` double")
+    got = m.mix(docs, budget=6)
+    assert len(set(got.columns)) == len(got.columns) and {"__start", "__Epochs"} <= set(got.columns)
+    found = got.collect()
+    assert len(found) == 6
+    # equal rows are taken together
+    assert len({r.copies for r in found if r.doc_id is None}) == 1 and len({r.copies for r in found if r.doc_id == 7}) == 1
+
+
+def test_many_leaves_take_the_same(docs, monkeypatch):
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, r.copies) for r in df.select("doc_id", "n_tokens", "copies").collect())
+    one = key(m.mix(docs))
+    monkeypatch.setattr(m, "BROADCAST_LIMIT", -1)
+    assert key(m.mix(docs)) == one
