@@ -60,7 +60,7 @@ def f1_at(pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> DataFrame:
 def average_precision(ranked: DataFrame, truths: DataFrame, group: str, order: list) -> DataFrame:
     """``group, ap``: area under the monotone precision envelope. ``ranked`` has ``tp`` (boolean), ``truths`` has ``num_gt``.
 
-    A running count needs the rows of a group in order; they are counted per range of the order first where that matters.
+    A running count needs the rows of a group in order, so each group is one window.
     """
     by = Window.partitionBy(group).orderBy(*order)
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +68,9 @@ def average_precision(ranked: DataFrame, truths: DataFrame, group: str, order: l
     rows = rows.join(F.broadcast(truths), group).filter("num_gt > 0")
     rows = rows.withColumns({"recall": F.col("c_tp") / F.col("num_gt"), "precision": F.col("c_tp") / F.col("k")})
     on = Window.partitionBy(group).orderBy("k")
-    rows = rows.withColumn("envelope", F.max("precision").over(on.rowsBetween(0, Window.unboundedFollowing)))
+    # a running maximum from the end: a frame open to the end would be computed anew for every row
+    back = Window.partitionBy(group).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("envelope", F.max("precision").over(back))
     gain = (F.col("recall") - F.lag("recall", 1, 0.0).over(on)) * F.col("envelope")
     got = rows.withColumn("gain", gain).groupBy(group).agg(F.sum("gain").alias("ap"))
     return truths.join(got, group, "left").select(group, F.coalesce("ap", F.lit(0.0)).alias("ap"))
