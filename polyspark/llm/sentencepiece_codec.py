@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import inf
+from struct import pack
 
 import ahocorasick
 import pyarrow as pa
@@ -60,6 +61,36 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, tuple(sp.get_score(i) for i in range(n)), tuple(not x and bool(p) for x, p in zip(special, pieces)), byte_ids)
 
 
+def _two_bytes(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}H", *ids)
+
+
+class _Coded(dict):
+    """The bytes of each part, coded when it is first asked for; long ones are not remembered.
+
+    When half the bound is reached the parts become the old ones: those that are asked for again move back.
+    """
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, s: str) -> bytes:
+        codec = self.codec
+        raw = self.old.get(s)
+        if raw is not None:
+            self[s] = raw
+            return raw
+        if "\n" in s and codec.line_end is not None:
+            raw = _two_bytes(codec.line_end).join([self[x] if x else b"" for x in s.split("\n")])
+        else:
+            raw = _two_bytes(codec.viterbi(s))
+        if len(s) <= MEMO_CHARS:
+            self[s] = raw
+        return raw
+
+
 class Codec:
     """Built once per Python worker."""
 
@@ -76,22 +107,23 @@ class Codec:
         #: How a line end is spelt if no piece has one: texts can then be cut there as well.
         self.line_end = None if any("\n" in p for p, ok in zip(v.pieces, v.usable) if ok) else [v.byte_ids[10]]
         self.memo: dict[str, list[int]] = {}
+        self.coded = _Coded(self)
         self.byte_of = {i: b for b, i in enumerate(v.byte_ids)}
         self.text_of = [p.replace(MARK, " ") if ok else "" for p, ok in zip(v.pieces, v.usable)]
 
     def viterbi(self, s: str) -> list[int]:
         if not self.singles.issuperset(s):
             return self._viterbi_unknown(s)
-        n = len(s) + 1
-        best, came = [0.0] + [-inf] * n, [None] * n
+        # best[end] is the score up to and with character ``end``; the start, index -1, is the last entry
+        n = len(s)
+        best, came = [-inf] * n + [0.0], [None] * n
         for end, step in self.automaton.iter(s):
-            i, length, score = step
-            score += best[end + 1 - length]
-            if score > best[end + 1]:
-                best[end + 1], came[end] = score, step
+            score = best[end - step[1]] + step[2]
+            if score > best[end]:
+                best[end], came[end] = score, step
         out, at = [], n - 1
-        while at:
-            i, length, score = came[at - 1]
+        while at >= 0:
+            i, length, _ = came[at]
             out.append(i)
             at -= length
         out.reverse()
@@ -134,9 +166,25 @@ class Codec:
             return out
         if len(s) > MEMO_CHARS:
             return self.viterbi(s)
-        if len(self.memo) >= MEMO_PARTS:
-            self.memo.clear()
-        return self.memo.setdefault(s, self.viterbi(s))
+        ids = self.memo.get(s)
+        if ids is None:
+            if len(self.memo) >= MEMO_PARTS:
+                self.memo.clear()
+            ids = self.memo[s] = self.viterbi(s)
+        return ids
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of ``encode`` as little-endian numbers of two bytes; parts that were met before are joined without a loop."""
+        if not text or MARK in text or self.crossing:
+            return _two_bytes(self.encode(text))
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            parts = self._parts(text)
+        else:
+            parts = (MARK + text.replace(" ", " " + MARK)).split(" ")
+        if len(self.coded) >= MEMO_PARTS // 2:
+            self.coded.old = dict(self.coded)
+            self.coded.clear()
+        return b"".join(map(self.coded.__getitem__, parts))
 
     def encode(self, text: str) -> list[int]:
         if not text:

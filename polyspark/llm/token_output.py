@@ -1,14 +1,15 @@
 """Token-ID output in training order: a keyed Feistel permutation gives every sequence a global slot.
 
 Every document is coded and cut into sequences of ``seq_len`` ids (the last one padded). Sequences are numbered
-without gaps, by partition of the coded table and position in it; the Feistel network over the next even
-number of bits, walked along its cycle until the value is below the count, permutes the numbers. Slots are dealt
-by range to shards of ``per_shard`` sequences with a fixed stride in bytes, so that slot ``s`` is at byte
-``(s % per_shard) * stride`` of shard ``s // per_shard``: readers go on from any slot, in sequence.
-
-Cases: a null or empty text has no sequence and takes no slot. Repeated rows are separate documents. A very long text
-makes many sequences and is never held twice. An empty table gives no slot and no shard. Of the input only
-the id and the text are read.
+without gaps in the order of a hash of the document's id, then id and text hash, however the table is partitioned; the
+Feistel network over the next even number of bits, walked along its cycle until the value is below the count, permutes the
+numbers. Slots are dealt by range to shards of ``per_shard`` sequences, and ``write_shards`` writes each as a raw file of
+fixed stride: slot ``s`` is at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``, so readers seek and go on
+from any slot, in sequence.
+
+Cases: a null or empty text has no sequence and takes no slot. Repeated rows are separate documents; rows of equal id and
+text are next to each other before the permutation. A very long text makes many sequences and is never held twice. An empty
+table gives no slot and no shard. Of the input only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyspark.llm.common import materialize
+from polyspark.llm.common import materialize, partitions_for
 from polyspark.llm.sentencepiece_codec import MODEL, codec_of, shared_vocabulary, slices
 
 SEQ_LEN = 512
@@ -29,6 +30,10 @@ PER_SHARD = 2048
 PAD = 0
 KEY = 20240607
 ROUNDS = 6
+#: Documents of a bucket, about, and parts of a group of equal rows.
+ROWS_PER_BUCKET = 4096
+PARTS = 64
+BYTES_PER_TASK = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -40,7 +45,8 @@ class Layout:
 
     @property
     def stride(self) -> int:
-        return self.seq_len * 2
+        """Bytes from one sequence to the next: its ids and one line feed, which Spark's text writer puts behind every record."""
+        return self.seq_len * 2 + 1
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -69,81 +75,107 @@ def permute(numbers: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 
 def _code(shared, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, first = codec_of(shared), 0
+        codec = codec_of(shared)
         for whole in batches:
             for b in slices(whole, "text"):
-                ids = [codec.encode(t) if t else [] for t in b.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                n_seq = -(-sizes // layout.seq_len)
-                start = first + np.cumsum(n_seq) - n_seq
-                first += int(n_seq.sum())
+                ids = [codec.encode_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
+                n_seq = np.array([-(-len(x) // (2 * layout.seq_len)) for x in ids], dtype=np.int64)
                 keep = np.flatnonzero(n_seq)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(pa.array(keep)),
-                        pa.array(start[keep]),
-                        pa.array(n_seq[keep]),
-                        pa.array([np.array(ids[k], dtype="<u2").tobytes() for k in keep], pa.binary()),
-                    ],
-                    ["doc_id", "start", "n_seq", "ids"],
-                )
+                rest = [b.column(c).take(pa.array(keep)) for c in ("doc_id", "place", "th")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n_seq[keep]), pa.array([ids[k] for k in keep], pa.binary())], ["doc_id", "place", "th", "n_seq", "ids"])
 
     return run
 
 
-def _place(offsets: dict[int, int], count: int, layout: Layout):
+def _place(count: int, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "ids", 4_000_000):
-                pid, start, n_seq = (b.column(n).to_numpy() for n in ("pid", "start", "n_seq"))
-                which = np.repeat(np.arange(len(pid)), n_seq)
+                first, n_seq = (b.column(n).to_numpy() for n in ("first", "n_seq"))
+                which = np.repeat(np.arange(len(first)), n_seq)
                 seq = np.arange(len(which)) - np.repeat(np.cumsum(n_seq) - n_seq, n_seq)
-                number = np.array([offsets[p] for p in pid], dtype=np.int64)[which] + start[which] + seq if len(pid) else seq
-                slot = permute(number, count, layout.key)
-                size, raw = layout.stride, b.column("ids").to_pylist()
-                end = layout.pad.to_bytes(2, "little") * layout.seq_len
-                payload = [(raw[w][s * size : (s + 1) * size] + end)[:size] for w, s in zip(which, seq)]
-                tokens = [min(size, len(raw[w]) - s * size) // 2 for w, s in zip(which, seq)]
+                slot = permute(first[which] + seq, count, layout.key)
+                size, raw = 2 * layout.seq_len, b.column("ids").to_pylist()
+                payload = [raw[w][s * size : (s + 1) * size] for w, s in zip(which.tolist(), seq.tolist())]
+                tokens = np.array([len(x) // 2 for x in payload], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), b.column("doc_id").take(pa.array(which)), pa.array(seq.astype(np.int32)), pa.array(tokens, pa.int32()), pa.array(payload, pa.binary())],
+                    [pa.array(slot), b.column("doc_id").take(pa.array(which)), pa.array(seq.astype(np.int32)), pa.array(tokens), pa.array(payload, pa.binary())],
                     ["slot", "doc_id", "seq_no", "n_tokens", "payload"],
                 )
 
     return run
 
 
+def _before(rows: DataFrame, group: list, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``size`` over the rows of the group that come before."""
+    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum("size").over(upto), F.lit(0)).cast("long"))
+
+
+def first_numbers(coded: DataFrame) -> tuple[DataFrame, int]:
+    """``row, first`` (the number of its first sequence) for every row of the coded table, and the count of all sequences.
+
+    Sizes are summed for equal rows, for buckets of places and for blocks of buckets: each window holds about
+    ``ROWS_PER_BUCKET`` rows or the root of the number of buckets. Equal rows, however many, go in ``PARTS`` parts.
+    """
+    bits = max(2, (-(-coded.count() // ROWS_PER_BUCKET)).bit_length())
+    rows = coded.select("row", "place", "id", "th", "n_seq")
+    rows = rows.withColumns({"bucket": F.shiftrightunsigned("place", 64 - bits), "part": F.pmod(F.xxhash64("row"), F.lit(PARTS))})
+    key = ["bucket", "place", "id", "th", "n_seq", "part"]
+    groups = materialize(rows.groupBy(*key).agg(F.sum("n_seq").alias("size")), "token-groups")
+    buckets = groups.groupBy("bucket").agg(F.sum("size").alias("size")).withColumn("block", F.shiftright("bucket", bits // 2))
+    buckets = materialize(buckets, "token-buckets")
+    blocks = _before(buckets.groupBy("block").agg(F.sum("size").alias("size")), [F.lit(0)], ["block"], "block_first")
+    starts = _before(buckets, ["block"], ["bucket"], "bucket_first").join(blocks.select("block", "block_first"), "block")
+    starts = starts.select("bucket", (F.col("block_first") + F.col("bucket_first")).alias("start"))
+    groups = _before(groups, ["bucket"], key[1:], "inside").join(starts, "bucket").select(*key, (F.col("start") + F.col("inside")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("row")) - 1
+    out = rows.join(groups, key).select("row", (F.col("first") + nth * F.col("n_seq")).alias("first"))
+    return out, buckets.agg(F.sum("size")).first()[0] or 0
+
+
 def training_order(docs: DataFrame, layout: Layout | None = None, model: str = MODEL) -> DataFrame:
-    """Returns ``slot, shard, byte_offset, doc_id, seq_no, n_tokens, payload`` for every sequence, ranged and sorted by slot."""
+    """Returns ``slot, shard, byte_offset, doc_id, seq_no, n_tokens, payload`` for every sequence.
+
+    A partition holds a range of whole shards, in slot order; partitions go by shard as well.
+    """
     layout, spark = layout or Layout(), docs.sparkSession
     shared = shared_vocabulary(spark, model)
     if len(shared.value.pieces) > 1 << 16:
         raise ValueError("ids need more than two bytes")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = docs.mapInArrow(_code(shared, layout), "doc_id long, start long, n_seq long, ids binary").withColumn("pid", F.spark_partition_id())
-    coded = materialize(coded, "token-ids")
-    # one row for each partition of the coded table
-    sums = sorted((r.pid, r.n) for r in coded.groupBy("pid").agg(F.sum("n_seq").alias("n")).collect())
-    offsets, count = {}, 0
-    for pid, n in sums:
-        offsets[pid], count = count, count + n
-    rows = coded.mapInArrow(_place(offsets, count, layout), "slot long, doc_id long, seq_no int, n_tokens int, payload binary")
+    doc_id = F.col("doc_id").cast("long")
+    docs = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, doc_id.isNull()).alias("place"), F.xxhash64("text").alias("th"), "text")
+    coded = docs.mapInArrow(_code(shared, layout), "doc_id long, place long, th long, n_seq long, ids binary")
+    coded = materialize(coded.withColumns({"row": F.monotonically_increasing_id(), "id": F.coalesce("doc_id", F.lit(0).cast("long"))}), "token-ids")
+    numbers, count = first_numbers(coded)
+    rows = coded.select("row", "doc_id", "n_seq", "ids").join(numbers, "row")
+    rows = rows.mapInArrow(_place(count, layout), "slot long, doc_id long, seq_no int, n_tokens int, payload binary")
     shards = max(1, -(-count // layout.per_shard))
+    tasks = min(shards, partitions_for(count * layout.stride, BYTES_PER_TASK, spark))
     rows = rows.withColumns({"shard": F.expr(f"CAST(slot DIV {layout.per_shard} AS INT)"), "byte_offset": F.expr(f"slot % {layout.per_shard} * {layout.stride}")})
-    # slots are a permutation of range(count): shards are ranges of the same size
-    rows = rows.repartition(min(shards, 4096), "shard").sortWithinPartitions("slot")
-    return rows.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "payload")
+    # slots are a permutation of range(count), so ranges of shards are even without a sample
+    rows = rows.repartitionById(tasks, F.expr(f"CAST(CAST(shard AS BIGINT) * {tasks} DIV {shards} AS INT)")).sortWithinPartitions("shard", "slot")
+    whole = F.rpad("payload", F.lit(2 * layout.seq_len), F.lit(layout.pad.to_bytes(2, "little")))
+    return rows.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", whole.alias("payload"))
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """One folder for each shard; its rows are in slot order, ``payload`` of a fixed stride and not compressed."""
-    ordered.write.mode("overwrite").option("compression", "uncompressed").option("parquet.enable.dictionary", "false").partitionBy("shard").parquet(path)
+    """One raw file in the folder ``shard=N`` for each shard: a record of ``stride`` bytes for each slot, in order.
+
+    Spark's own committed write: what lost or repeated tasks left behind is never seen.
+    """
+    ordered.select(F.col("payload").cast("string").alias("value"), "shard").write.mode("overwrite").option("lineSep", "\n").partitionBy("shard").text(path)
 
 
 def read_slots(spark: SparkSession, path: str, start: int, stop: int, layout: Layout | None = None) -> DataFrame:
-    """The sequences of slots ``start`` up to ``stop``, in order: only their shards are read."""
+    """``slot, payload`` of slots ``start`` up to ``stop``, in order: only the files of their shards are read, each cut by the stride."""
     layout = layout or Layout()
     shards = F.col("shard").between(start // layout.per_shard, (stop - 1) // layout.per_shard)
-    return spark.read.parquet(path).filter(shards & F.col("slot").between(start, stop - 1)).orderBy("slot")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).filter(shards)
+    rows = files.select("shard", "content", F.explode(F.sequence(F.lit(0), F.expr(f"CAST(length DIV {layout.stride} AS INT) - 1"))).alias("at"))
+    payload = F.substring("content", F.col("at") * layout.stride + 1, F.lit(2 * layout.seq_len))
+    rows = rows.select((F.col("shard").cast("long") * layout.per_shard + F.col("at")).alias("slot"), payload.alias("payload"))
+    return rows.filter(F.col("slot").between(start, stop - 1)).orderBy("slot")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

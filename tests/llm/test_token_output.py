@@ -1,4 +1,8 @@
+import glob
+import os
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from polyspark.llm import sentencepiece_codec as sp
 from polyspark.llm import token_output as t
@@ -17,7 +21,7 @@ def test_round_trip_and_resume(spark, docs, tmp_path):
     ordered = t.training_order(docs, layout)
     rows = ordered.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    assert all(len(r.payload) == layout.stride and r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * layout.stride for r in rows)
+    assert all(len(r.payload) == 2 * layout.seq_len and r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * layout.stride for r in rows)
     got = {}
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.seq_no, np.frombuffer(r.payload, "<u2")[: r.n_tokens].tolist()))
@@ -25,8 +29,33 @@ def test_round_trip_and_resume(spark, docs, tmp_path):
     for r in sp.encode(docs.select("doc_id", "text").join(once, "doc_id")).collect():
         assert sum((x for _, x in sorted(got.get(r.doc_id, []))), []) == (r.ids or [])
     t.write_shards(ordered, f"{tmp_path}/shards")
-    part = [r.slot for r in t.read_slots(spark, f"{tmp_path}/shards", 10, 40, layout).collect()]
-    assert part == list(range(10, min(40, len(rows))))
+    part = [(r.slot, bytes(r.payload)) for r in t.read_slots(spark, f"{tmp_path}/shards", 10, 40, layout).collect()]
+    want = {r.slot: bytes(r.payload) for r in rows}
+    assert part == [(s, want[s]) for s in range(10, min(40, len(rows)))]
+    # a reader seeks to the place of any slot and goes on from there, also in the middle of a shard
+    for r in rows:
+        (file,) = glob.glob(f"{tmp_path}/shards/shard={r.shard}/part-*")
+        with open(file, "rb") as f:
+            f.seek(r.byte_offset)
+            assert f.read(layout.stride) == bytes(r.payload) + b"\n"
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/shards/shard=*/part-*")) == len(rows) * layout.stride
+
+
+def test_partitions_do_not_matter(spark, docs, monkeypatch):
+    layout = t.Layout(seq_len=16, per_shard=8)
+    take = lambda df: sorted((r.slot, r.doc_id if r.doc_id is not None else -1, r.seq_no, bytes(r.payload)) for r in t.training_order(df, layout).collect())
+    docs = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").filter("doc_id < 20"))
+    one = take(docs.repartition(2))
+    monkeypatch.setattr(t, "ROWS_PER_BUCKET", 2)
+    assert take(docs.repartition(5)) == one
+    # plain Python: documents in order, sequences numbered, slots by the permutation
+    key = docs.filter("text <> ''").select("doc_id", "text", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("p"), F.xxhash64("text").alias("h")).collect()
+    codec, number = sp.Codec(sp.load_vocabulary()), []
+    for r in sorted(key, key=lambda r: (r.p % 2**64, r.doc_id or 0, r.h)):
+        ids = codec.encode(r.text)
+        number += [(r.doc_id if r.doc_id is not None else -1, k, ids[s : s + 16] + [0] * (16 - len(ids[s : s + 16]))) for k, s in enumerate(range(0, len(ids), 16))]
+    slots = t.permute(np.arange(len(number)), len(number))
+    assert one == sorted((int(s), d, k, np.array(x, "<u2").tobytes()) for s, (d, k, x) in zip(slots, number))
 
 
 def test_empty_table(none):
