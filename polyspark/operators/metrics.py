@@ -86,12 +86,14 @@ def mask_metrics(pixels: DataFrame, image: str, threshold: float) -> DataFrame:
     return rows.select(image, ((F.col("i") + eps) / (F.col("u") + eps)).alias("iou"), ((2 * F.col("i") + eps) / (F.col("positive") + F.col("t") + eps)).alias("f1"), "positive", "mean_prob")
 
 
-def rasterize(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
-    """``keys, px``: the pixels ``y * size + x`` within half a ``width`` of each line of ``keys, points``.
+def segment_words(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
+    """``keys, word, bits``: the pixels within half a ``width`` of each line of ``keys, points``, 64 pixels of an image row to a word.
 
-    A row for each segment, for each image row that it touches, then for each pixel of the stretch that it can reach there.
+    A row for each segment, for each image row that it touches and each word there. What is near a segment is convex, so its pixels
+    in an image row are a run; both ends come from the stretch that the segment can reach. Rows of the same word are not yet united.
     """
     half = width / 2
+    per_row = -(-size // 64)
     rows = lines.select(*keys, "points", F.posexplode("points").alias("__i", "p")).select(*keys, "p", F.get("points", F.col("__i") + 1).alias("q")).filter("q IS NOT NULL")
     lo = lambda c: F.greatest(F.lit(0), F.ceil(F.least(f"p.{c}", f"q.{c}") - half)).cast("int")
     hi = lambda c: F.least(F.lit(size - 1), F.floor(F.greatest(f"p.{c}", f"q.{c}") + half)).cast("int")
@@ -104,29 +106,47 @@ def rasterize(lines: DataFrame, keys: list[str], width: float, size: int) -> Dat
     rows = rows.withColumns({"__a": at(-half, 0.0), "__b": at(half, 1.0)})
     left = F.greatest(F.lit(0), F.ceil(F.least("__a", "__b") - half)).cast("int")
     right = F.least(F.lit(size - 1), F.floor(F.greatest("__a", "__b") + half)).cast("int")
-    rows = rows.filter(left <= right).withColumn("__x", F.explode(F.sequence(left, right)))
     dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
     norm = dx * dx + dy * dy
-    t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("__x") - F.col("p.x")) * dx + (F.col("__y") - F.col("p.y")) * dy) / norm))).otherwise(0.0)
-    ex, ey = F.col("p.x") + t * dx - F.col("__x"), F.col("p.y") + t * dy - F.col("__y")
-    return rows.filter(ex * ex + ey * ey <= half * half).select(*keys, (F.col("__y") * size + F.col("__x")).alias("px")).distinct()
+
+    def near(x):
+        t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("p.x")) * dx + (F.col("__y") - F.col("p.y")) * dy) / norm))).otherwise(0.0)
+        return g.let(t, lambda u: (F.col("p.x") + u * dx - x) * (F.col("p.x") + u * dx - x) + (F.col("p.y") + u * dy - F.col("__y")) * (F.col("p.y") + u * dy - F.col("__y"))) <= half * half
+
+    rows = rows.filter(left <= right).withColumn("__run", F.filter(F.sequence(left, right), near)).filter(F.size("__run") > 0)
+    rows = rows.select(*keys, "__y", F.element_at("__run", 1).alias("__l"), F.element_at("__run", -1).alias("__r"))
+    rows = rows.withColumn("__w", F.explode(F.sequence(F.expr("__l DIV 64"), F.expr("__r DIV 64"))))
+    first, last = F.greatest("__l", F.col("__w") * 64) % 64, F.least("__r", F.col("__w") * 64 + 63) % 64
+    bits = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (63 - last + first).cast("int")), first.cast("int"))
+    return rows.select(*keys, (F.col("__y") * per_row + F.col("__w")).alias("word"), bits.alias("bits"))
+
+
+def rasterize(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
+    """``keys, word, bits``: the pixels of all lines with the same ``keys``, one row for each word with a pixel."""
+    return segment_words(lines, keys, width, size).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def mask_iou(pred: DataFrame, gt: DataFrame, width: float, size: int) -> DataFrame:
     """``sample, category, pred_idx, gt_idx, iou`` of the pairs that share a pixel."""
     a = rasterize(pred, ["sample", "category", "pred_idx"], width, size)
     b = rasterize(gt, ["sample", "category", "gt_idx"], width, size)
-    na, nb = a.groupBy("sample", "category", "pred_idx").agg(F.count("*").alias("na")), b.groupBy("sample", "category", "gt_idx").agg(F.count("*").alias("nb"))
-    common = a.join(b, ["sample", "category", "px"]).groupBy("sample", "category", "pred_idx", "gt_idx").agg(F.count("*").alias("n"))
+    area = lambda df, idx, name: df.groupBy("sample", "category", idx).agg(F.sum(F.bit_count("bits")).alias(name))
+    na, nb = area(a, "pred_idx", "na"), area(b, "gt_idx", "nb")
+    common = a.join(b.withColumnRenamed("bits", "other"), ["sample", "category", "word"]).withColumn("n", F.bit_count(F.col("bits").bitwiseAND(F.col("other"))))
+    common = common.groupBy("sample", "category", "pred_idx", "gt_idx").agg(F.sum("n").alias("n")).filter("n > 0")
     both = common.join(na, ["sample", "category", "pred_idx"]).join(nb, ["sample", "category", "gt_idx"])
     return both.select("sample", "category", "pred_idx", "gt_idx", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
 
 
 def semantic_miou(pred: DataFrame, gt: DataFrame, width: float, size: int) -> DataFrame:
-    """``category, iou``: pixels of all samples together; only categories that have a pixel."""
-    cells = lambda df, side: rasterize(df, ["sample", "category"], width, size).withColumn(side, F.lit(1))
-    both = cells(pred, "p").join(cells(gt, "g"), ["sample", "category", "px"], "full")
-    return both.groupBy("category").agg((F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()) / F.count("*")).alias("iou"))
+    """``category, iou``: pixels of all samples together; only categories that have a pixel. One aggregation of both sides' words."""
+    none = F.lit(0).cast("long")
+    words = lambda df: segment_words(df, ["sample", "category"], width, size)
+    both = words(pred).select("sample", "category", "word", F.col("bits").alias("p"), none.alias("g"))
+    both = both.unionByName(words(gt).select("sample", "category", "word", none.alias("p"), F.col("bits").alias("g")))
+    both = both.groupBy("sample", "category", "word").agg(F.bit_or("p").alias("p"), F.bit_or("g").alias("g"))
+    common, either = F.sum(F.bit_count(F.col("p").bitwiseAND(F.col("g")))), F.sum(F.bit_count(F.col("p").bitwiseOR(F.col("g"))))
+    return both.groupBy("category").agg((common / either).alias("iou"))
 
 
 def continuity(lines: DataFrame, radius: float) -> DataFrame:
