@@ -13,17 +13,20 @@ the shards decide.
 
 Cases: a null text has no words; a text of fewer than ``WINDOW`` words loses none. A repeated row's windows all start
 elsewhere too, so it loses every word from ``WINDOW`` words up; so does a window that repeats in one text. Long texts
-are cut into segments, never held as one. An empty table gives an empty result. Only the id and the text
+are read in blocks of ``SLICE`` words that overlap, so a text may have any number of words; of the whole text there are
+the text itself, 8 bytes for each word while windows are found, and the kept words at the end. An empty table gives an empty result. Only the id and the text
 are read. Words are compared by 64-bit and segments by two 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ MEMO_SEGMENTS = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(35).integers(1, 1 << 63, 256, dtype=np.uint64)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -86,12 +90,22 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(start, offsets))
 
 
+def cuts(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of ``size`` bytes and what is left of the last word of each."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Hashed:
     """The words of some texts as hashes, and their segments."""
 
-    def __init__(self, texts: pa.Array, window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int = GRAM):
         with np.errstate(over="ignore"):
-            self._segment(*_words(texts), window, gram)
+            self._segment(hashes, sizes, window, gram)
 
     def _segment(self, hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> None:
         used = np.flatnonzero(sizes >= window)
@@ -126,17 +140,38 @@ class Hashed:
         self.minimizer = _finish(grams[self.anchor]).view(np.int64)
 
 
-#: So many bytes of text at once: places of words stay below 2 ** 24.
+#: So many bytes of text, and words of one text, at once: places of words stay below 2 ** 24.
 SLICE = 1_000_000
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Hashed]]:
+    """Rows and their segments. A text of over ``SLICE`` words comes in blocks that overlap by ``WINDOW - 1`` words, so each window is in one."""
     for whole in batches:
         for b in slices(whole, "text", SLICE):
-            h = Hashed(b.column("text"))
-            if len(h.hashes) >= 1 << 24:
-                raise ValueError("a text has more words than one pass can place")
-            yield b, h
+            text = b.column("text")
+            for row, size in enumerate(pc.binary_length(text).to_pylist()):
+                if (size or 0) > 2 * SLICE:
+                    break
+            else:
+                with np.errstate(over="ignore"):
+                    hashes, sizes = _words(text)
+                yield b, Hashed(hashes, sizes)
+                continue
+            if row:
+                with np.errstate(over="ignore"):
+                    hashes, sizes = _words(text.slice(0, row))
+                yield b.slice(0, row), Hashed(hashes, sizes)
+            # a long text is the last one of its slice
+            one, parts = b.slice(row), []
+            with np.errstate(over="ignore"):
+                for c in cuts(text[row].as_buffer().to_pybytes(), SLICE):
+                    parts.append(_words(pa.array([c], pa.binary()))[0])
+            hashes = np.concatenate(parts)
+            for at in range(0, max(1, len(hashes) - WINDOW + 1), SLICE):
+                block = hashes[at : at + SLICE + WINDOW - 1]
+                h = Hashed(block, np.array([len(block)]))
+                h.at = h.at + at
+                yield one, h
 
 
 def minimizer_counts(docs: DataFrame) -> DataFrame:
@@ -256,19 +291,25 @@ def repeated(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     return hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
 
 
-def _keep(text: str | None, found: list[dict] | None) -> tuple[int, int, str]:
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    n = len(words)
-    if not found:
-        return n, 0, b" ".join(words).decode("utf-8", "surrogatepass")
-    change = np.zeros(n + 1, np.int64)
-    for f in found:
-        for j in range(64):
-            if f["mask"] >> j & 1:
-                change[f["at"] + j] += 1
-                change[min(n, f["at"] + j + WINDOW)] -= 1
-    kept = np.flatnonzero(np.cumsum(change[:n]) == 0)
-    return n, n - len(kept), b" ".join([words[k] for k in kept]).decode("utf-8", "surrogatepass")
+def _keep(text: str | None, found: list[dict] | None) -> tuple[int, int, bytes]:
+    """Words of the text, words gone and the kept ones; words are split a piece of the text at a time."""
+    starts = np.sort(np.array([f["at"] + j for f in found or () for j in range(64) if f["mask"] >> j & 1], np.int64))
+    n = kept = 0
+    out = []
+    for piece in cuts((text or "").encode("utf-8", "surrogatepass"), SLICE):
+        words = piece.split()
+        if len(starts) and words:
+            place = np.arange(n, n + len(words))
+            # a word is gone where a window starts at it or at one of the WINDOW - 1 words before
+            stay = np.searchsorted(starts, place, "right") == np.searchsorted(starts, place - WINDOW + 1, "left")
+            n += len(words)
+            words = [words[k] for k in np.flatnonzero(stay)]
+        else:
+            n += len(words)
+        kept += len(words)
+        if words:
+            out.append(b" ".join(words))
+    return n, n - kept, b" ".join(out)
 
 
 def remove_repeats(docs: DataFrame, digest: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
@@ -283,8 +324,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, hot_segments: int = HO
             for b in slices(whole, "text", SLICE):
                 out = [_keep(t, f) for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist())]
                 n, gone, text = zip(*out) if out else ((), (), ())
-                if digest:
-                    text = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in text]
+                text = [hashlib.sha256(t).hexdigest() if digest else t.decode("utf-8", "surrogatepass") for t in text]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string())], ["doc_id", "n_words", "n_removed", last])
 
     return rows.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")

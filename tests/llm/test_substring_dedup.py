@@ -67,3 +67,31 @@ def test_index():
 
 def test_empty_table(none):
     assert s.remove_repeats(none).count() == 0
+
+
+def test_text_of_more_words_than_a_block(spark):
+    rng = random.Random(11)
+    long = [f"{rng.getrandbits(24):x}" for _ in range(1_200_000)]
+    passage = [f"p{k}" for k in range(100)]
+    # one over the border of two blocks, one in a short text, one of fewer words than a window
+    long[s.SLICE - 40 : s.SLICE + 60] = passage
+    short = ["before", *passage, "after"]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, " ".join(passage[:34]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in s.remove_repeats(docs).collect()}
+    assert (got[1].n_words, got[1].n_removed) == (1_200_000, 100)
+    assert got[1].kept_text == " ".join(long[: s.SLICE - 40] + long[s.SLICE + 60 :])
+    assert (got[2].n_removed, got[2].kept_text, got[3].n_removed) == (100, "before after", 0)
+
+
+def test_blocks_have_each_window_once(monkeypatch, texts):
+    import pyarrow as pa
+
+    monkeypatch.setattr(s, "SLICE", 100)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*texts, "word " * 700], pa.string())})
+    seen, want = Counter(), Counter()
+    for b, h in s._pieces([batch]):
+        for d, at, n in zip(h.doc.tolist(), h.at.tolist(), h.count.tolist()):
+            seen.update((b.column("text")[d].as_py(), at + k) for k in range(n))
+    for t in [*texts, "word " * 700]:
+        want.update((t, k) for k in range(len((t or "").encode().split()) - s.WINDOW + 1))
+    assert seen == want
