@@ -31,7 +31,6 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 TRAIN_DOCS = 20_000
 TRAIN_TOKENS = 100_000
-TRAIN_TOKENS_PER_DOC = 64
 MIN_PROBABILITY = 0.95
 DAMPING = 0.5
 #: Message changes under this are none.
@@ -110,9 +109,14 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _words_before(text: str, start: int) -> str:
-    tail = text[max(0, start - 40) : start].split()
-    return re.sub(r"[\W\d_]+", "", tail[-1]).lower() if tail else ""
+def _word_before(text: str, start: int) -> str:
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    at = end
+    while at and not text[at - 1].isspace():
+        at -= 1
+    return re.sub(r"[\W\d_]+", "", text[at:end]).lower()
 
 
 N_CUES = 16
@@ -120,7 +124,7 @@ N_FEATURES = 26 + N_CUES
 
 
 def token_features(text: str, start: int, end: int) -> list[float]:
-    t = text[start : min(end, start + 200)]
+    t = text[start:end]
     digits = re.sub("[^0-9]", "", t)
     n, dots = len(digits), t.count(".")
     letters = sum(c.isalpha() for c in t)
@@ -128,7 +132,7 @@ def token_features(text: str, start: int, end: int) -> list[float]:
     head, _, domain = core.partition("@")
     octets = core.split(".")
     like_ip = len(octets) == 4 and all(o.isascii() and o.isdigit() and len(o) <= 3 and int(o) <= 255 for o in octets)
-    cue = hashlib.md5(_words_before(text, start).encode("utf-8", "surrogatepass")).digest()[0] % N_CUES
+    cue = hashlib.md5(_word_before(text, start).encode("utf-8", "surrogatepass")).digest()[0] % N_CUES
     flags = [
         True, n == 0, n == 1, n == 2, 3 <= n <= 4, 5 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19,
         "@" in core, bool(head and "." in domain), dots == 1, dots == 3, dots > 3, t.startswith("+"), "(" in t and ")" in t,
@@ -228,15 +232,36 @@ def fit_field(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray)
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Trains on the documents whose hash falls in a share of about ``TRAIN_DOCS``."""
+    """Trains on whole documents: about ``TRAIN_DOCS`` by a hash of id and text, in its order while they fit ``TRAIN_TOKENS``.
+
+    A document that no longer fits is passed over. Equal rows count once. The choice depends on the rows alone, not on
+    their order or partitions.
+    """
+    spark = docs.sparkSession
     share = int(min(1.0, TRAIN_DOCS / max(1, docs.count())) * 1_000_000)
-    sample = docs.filter(F.expr(f"pmod(xxhash64(doc_id, {len(LABELS)}), 1000000)") < share).select("text")
+    place = F.xxhash64("doc_id", "text", F.lit(len(LABELS)))
+    sample = docs.filter(F.pmod(place, F.lit(1_000_000)) < share).select(place.alias("place"), "text")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(tokens(t or "")) for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("place"), n], ["place", "n"])
+
+    # one narrow row for each of about TRAIN_DOCS documents
+    size = sample.mapInArrow(sizes, "place long, n long").filter("n > 0").groupBy("place").agg(F.max("n").alias("n"))
+    chosen, total = [], 0
+    for r in sorted(size.toArrow().to_pylist(), key=lambda r: r["place"]):
+        if total + r["n"] <= TRAIN_TOKENS:
+            chosen.append((r["place"],))
+            total += r["n"]
+    fitting = F.broadcast(spark.createDataFrame(chosen, "place long"))
+    sample = sample.join(fitting, "place", "left_semi").groupBy("place").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
-                toks = tokens(text or "")[:TRAIN_TOKENS_PER_DOC]
+                toks = tokens(text or "")
                 y = token_labels(toks, base_spans(text)) if toks else []
                 chain, skip = graph(text, toks) if toks else ([], [])
                 after, alike = dict(chain), dict(skip)
@@ -245,7 +270,7 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.float32()))], ["y", "after", "alike", "x"])
 
-    got = sample.mapInArrow(run, "y int, after int, alike int, x array<float>").limit(TRAIN_TOKENS).toArrow().to_pandas()
+    got = sample.mapInArrow(run, "y int, after int, alike int, x array<float>").toArrow().to_pandas()
     got = got.sort_values(["y", "after", "alike"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), N_FEATURES)
     # the order of rows may differ between runs, so sums are taken over sorted rows

@@ -77,3 +77,17 @@ def test_redaction_and_cases(docs, none):
     rows = out.collect()
     assert len(rows) == docs.count() and all(not brute(r.text) for r in rows if r.text)
     assert pii.redacted("ab 12 cd", [{"kind": "card", "start": 3, "end": 5}]) == "ab <CARD> cd"
+
+
+def test_training_is_the_same_however_the_rows_lie(spark, texts):
+    import numpy as np
+
+    rows = [(i, t) for i, t in enumerate(texts_of(texts))] + [(900, "call +49 30 12345678 " * 3000)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = pii.fit(docs.repartition(1)), pii.fit(docs.repartition(7))
+    assert all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_word_before_is_whole():
+    t = "x" * 500 + "Phone: 12"
+    assert pii._word_before(t, t.index("12")) == "x" * 500 + "phone"
