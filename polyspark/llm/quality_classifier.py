@@ -1,6 +1,6 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a bag of hashed features of its words (their shape, ending and marks, and whether a word repeats the last one),
+A text is a bag of hashed features of its whole words (their shape and their marks, and whether a word repeats the last one),
 weighted by inverse document frequency over all documents, and projected on the leading directions of a
 bounded sample of labelled texts. The sample's vectors are broadcast (at most ``MAX_LABELLED`` of ``DIMS`` numbers);
 each document's cosine with every one of them is computed in blocks, exactly, and its ``NEIGHBOURS`` nearest vote
@@ -47,11 +47,11 @@ def _slot(s: str) -> int:
 
 def _features_of(word: str) -> tuple[int, int]:
     """Hashed shape and hashed marks of one word."""
-    s = word[:64]
+    s = word
     for pattern, to in _SHAPE:
         s = pattern.sub(to, s)
-    marks = "".join(c for c in word[:64] if not c.isalnum())
-    return _slot("s" + s[:12]), _slot(f"m{marks[:8]}:{min(len(word), 20) // 4}")
+    marks = "".join(c for c in word if not c.isalnum())
+    return _slot("s" + s), _slot(f"m{marks}:{min(len(word), 20) // 4}")
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +68,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             if len(_memo) >= MEMO_WORDS:
                 _memo.clear()
             f = _features_of(w)
+            # the memo stays small
             if len(w) <= 64:
                 _memo[w] = f
         out += f
@@ -165,12 +166,15 @@ def vote(texts: list[str | None], model: dict[str, np.ndarray]) -> np.ndarray:
     full = np.flatnonzero(x.any(axis=1))
     if not len(full) or not len(model["labels"]):
         return out
-    z = x[full] @ model["axes"]
+    z = x[full].astype(np.float64) @ model["axes"].astype(np.float64)
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    cos = z @ model["vectors"].T
+    # products may differ in the last bits with a text's place in the block: in steps of 1e-9 they don't
+    cos = z @ model["vectors"].T.astype(np.float64)
+    cos *= -1e9
+    np.rint(cos, out=cos)
     k = min(NEIGHBOURS, cos.shape[1])
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(np.float64) ** POWER
+    near = np.argpartition(cos, k - 1, axis=1)[:, :k]
+    weight = np.maximum(np.take_along_axis(cos, near, axis=1) * -1e-9, 1e-6) ** POWER
     out[full] = (weight * model["labels"][near]).sum(axis=1) / weight.sum(axis=1)
     return np.clip(out, 0.0, 1.0)
 

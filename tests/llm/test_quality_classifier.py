@@ -37,3 +37,37 @@ def test_held_out_labels_change_nothing(spark):
     flipped = labels.withColumn("quality", q.F.when(q.held_out(q.F.col("doc_id")), 1 - q.F.col("quality")).otherwise(q.F.col("quality")))
     a, b = (q.score(docs, q.fit(docs, x)).orderBy("doc_id").collect() for x in (labels, flipped))
     assert a == b
+
+
+def test_vote_against_brute_force(spark, texts):
+    import math
+
+    import numpy as np
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = q.fit(docs, labels)
+    got = {r.doc_id: r.score for r in q.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        at, n = q.features(t)
+        count = np.zeros(q.FEATURES)
+        for a, k in zip(at.tolist(), n.tolist()):
+            count[a] += k
+        if not count.any():
+            assert math.isclose(got[i], float(model["prior"]), abs_tol=1e-6)
+            continue
+        x = np.sqrt(count / count.sum()) * model["idf"]
+        z = (x / math.sqrt(sum(v * v for v in x))) @ model["axes"]
+        z = z / math.sqrt(sum(v * v for v in z))
+        cos = [float(sum(a * b for a, b in zip(z, v))) for v in model["vectors"]]
+        order = sorted(range(len(cos)), key=lambda k: -cos[k])
+        near = order[: q.NEIGHBOURS]
+        # equal vectors at the border of the neighbours may stand for each other
+        if len(order) > len(near) and cos[near[-1]] - cos[order[len(near)]] < 1e-5:
+            continue
+        weight = [max(cos[k], 1e-6) ** q.POWER for k in near]
+        assert math.isclose(got[i], sum(w * model["labels"][k] for w, k in zip(weight, near)) / sum(weight), abs_tol=1e-3)
+
+
+def test_whole_words_count():
+    assert q._features_of("a-" * 60 + "x") != q._features_of("a-" * 60 + "9")
