@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from polyspark.llm import (
     embedding_dedup,
+    merkle,
     mixing,
     pii,
     quality_classifier,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_url_filters": url_filters.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_mixing": mixing.query,
+        "op12_merkle": merkle.query,
     }
 
 
