@@ -14,6 +14,7 @@ from polyspark.llm import (
     substring_dedup,
     token_output,
     url_filters,
+    warc,
 )
 
 
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_url_filters": url_filters.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_mixing": mixing.query,
+        "op11_warc": warc.query,
         "op12_merkle": merkle.query,
     }
 
