@@ -13,6 +13,7 @@ from polyspark.llm import (
     simhash,
     substring_dedup,
     token_output,
+    tokenizer_alignment,
     url_filters,
     warc,
 )
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_mixing": mixing.query,
         "op11_warc": warc.query,
         "op12_merkle": merkle.query,
+        "op13_tokenizer_alignment": tokenizer_alignment.query,
     }
 
 
