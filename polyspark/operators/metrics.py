@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
+from polyspark.operators.stages import settled
 
 #: Distance that stands for a category without truth, and for no predictions.
 NO_TRUTH = 64.0
@@ -25,55 +26,73 @@ def mean_chamfer(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return rows.groupBy("sample").agg(F.avg(F.coalesce("near", F.lit(NO_TRUTH))).alias("mean_chamfer"))
 
 
-def greedy_match(costs: DataFrame, order: str, threshold: float) -> DataFrame:
-    """``sample, category, pred_idx, gt_idx``: in the order of ``order`` each prediction takes its nearest truth that is free, if near enough.
+def matches(costs: DataFrame, thresholds: list[float], order: str = "ord") -> DataFrame:
+    """``threshold, sample, category, pred_idx, gt_idx``: at each threshold, predictions in the order of ``order`` and ``pred_idx`` take
+    the nearest free truth that is near enough (of equal ones the first).
 
-    A fold over the predictions of one sample and category, whose number a patch bounds. A truth that is chosen but too far stays free.
+    A pair beyond a threshold never matches there, whatever is free, so only pairs within the largest one are gathered. One fold for
+    each threshold runs over the same lists; a patch bounds the lines of a sample and category.
     """
-    per = costs.groupBy("sample", "category", order, "pred_idx").agg(F.array_sort(F.collect_list(F.struct("cost", "gt_idx"))).alias("near"))
-    per = per.groupBy("sample", "category").agg(F.array_sort(F.collect_list(F.struct(order, "pred_idx", "near"))).alias("preds"))
+    near = costs.filter(F.col("cost") <= max(thresholds)).groupBy("sample", "category", order, "pred_idx")
+    near = near.agg(F.array_sort(F.collect_list(F.struct("cost", "gt_idx"))).alias("near"))
+    per = near.groupBy("sample", "category").agg(F.array_sort(F.collect_list(F.struct(order, "pred_idx", "near"))).alias("preds"))
     empty = F.array().cast("array<struct<pred_idx:bigint,gt_idx:bigint>>")
+    pair = lambda p, n: F.struct(p["pred_idx"].cast("long").alias("pred_idx"), n["gt_idx"].cast("long").alias("gt_idx"))
+
+    def fold(t):
+        def step(done, p):
+            free = F.filter(p["near"], lambda n: (n["cost"] <= t) & ~F.exists(done, lambda d: d["gt_idx"] == n["gt_idx"]))
+            return g.let(F.get(free, F.lit(0)), lambda n: F.when(n.isNull(), done).otherwise(F.array_append(done, pair(p, n))))
+
+        return F.aggregate("preds", empty, step)
 
-    def step(done, p):
-        free = F.filter(p["near"], lambda n: ~F.exists(done, lambda d: d["gt_idx"] == n["gt_idx"]))
-        return g.let(F.get(free, F.lit(0)), lambda b: F.when(b["cost"] <= threshold, F.array_append(done, F.struct(p["pred_idx"].cast("long").alias("pred_idx"), b["gt_idx"].cast("long").alias("gt_idx")))).otherwise(done))
+    levels = F.transform(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.struct(t.alias("threshold"), fold(t).alias("m")))
+    rows = per.select("sample", "category", F.inline(levels))
+    return rows.select("threshold", "sample", "category", F.inline("m"))
 
-    out = per.withColumn("m", F.aggregate("preds", empty, step))
-    return out.select("sample", "category", F.inline("m"))
+
+def greedy_match(costs: DataFrame, order: str, threshold: float) -> DataFrame:
+    """``sample, category, pred_idx, gt_idx``: ``matches`` at one threshold."""
+    return matches(costs, [threshold], order).drop("threshold")
 
 
 def f1_at(pred: DataFrame, gt: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``threshold, tp, fp, fn, f1`` over all samples, predictions in their own order."""
-    costs = pair_costs(pred, gt).withColumn("ord", F.col("pred_idx"))
-    n = pred.agg(F.count("*").alias("n_pred")).crossJoin(gt.agg(F.count("*").alias("n_gt")))
-    out = None
-    for t in thresholds:
-        one = greedy_match(costs, "ord", t).agg(F.count("*").alias("tp")).withColumn("threshold", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    out = out.crossJoin(F.broadcast(n))
-    fp, fn = F.col("n_pred") - F.col("tp"), F.col("n_gt") - F.col("tp")
+    """``threshold, tp, fp, fn, f1`` over all samples, predictions in their own order: one table of costs for all thresholds."""
+    found = matches(pair_costs(pred, gt).withColumn("ord", F.col("pred_idx")), thresholds).groupBy("threshold").agg(F.count("*").alias("tp"))
+    sizes = pred.agg(F.count("*").alias("n_pred")).crossJoin(gt.agg(F.count("*").alias("n_gt")))
+    rows = sizes.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).join(F.broadcast(found), "threshold", "left")
+    rows = rows.withColumn("tp", F.coalesce("tp", F.lit(0).cast("long")))
     p, r = F.col("tp") / F.greatest("n_pred", F.lit(1)), F.col("tp") / F.greatest("n_gt", F.lit(1))
     f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2 * p * r / (p + r))
-    return out.select("threshold", "tp", fp.alias("fp"), fn.alias("fn"), f1.alias("f1"))
+    return rows.select("threshold", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), f1.alias("f1"))
 
 
-def average_precision(ranked: DataFrame, truths: DataFrame, group: str, order: list) -> DataFrame:
-    """``group, ap``: area under the monotone precision envelope. ``ranked`` has ``tp`` (boolean), ``truths`` has ``num_gt``.
+def average_precision(rows: DataFrame, truths: DataFrame, group: list[str], order: list) -> DataFrame:
+    """``group, ap``: area under the monotone precision envelope of rows ``tp`` (boolean) in ``order``. ``truths`` has ``num_gt``.
 
-    A running count needs the rows of a group in order, so each group is one window.
+    Rows are sorted by range of group and order, so a group of any size lies in many partitions. Counts by partition give
+    every partition its offsets; the envelope comes back the same way, from the best precision of later partitions. Only windows
+    over one partition's rows and over one row for each partition are taken.
     """
-    by = Window.partitionBy(group).orderBy(*order)
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranked.withColumns({"c_tp": F.sum(F.col("tp").cast("long")).over(upto), "k": F.row_number().over(by)})
-    rows = rows.join(F.broadcast(truths), group).filter("num_gt > 0")
-    rows = rows.withColumns({"recall": F.col("c_tp") / F.col("num_gt"), "precision": F.col("c_tp") / F.col("k")})
-    on = Window.partitionBy(group).orderBy("k")
-    # a running maximum from the end: a frame open to the end would be computed anew for every row
-    back = Window.partitionBy(group).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("envelope", F.max("precision").over(back))
-    gain = (F.col("recall") - F.lag("recall", 1, 0.0).over(on)) * F.col("envelope")
-    got = rows.withColumn("gain", gain).groupBy(group).agg(F.sum("gain").alias("ap"))
-    return truths.join(got, group, "left").select(group, F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    place = F.monotonically_increasing_id()
+    rows = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).select(*group, "tp", place.alias("place"))
+    rows = settled(rows, "ranked").withColumn("part", F.shiftright("place", 33))
+    parts = [*group, "part"]
+    upto = Window.partitionBy(*parts).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*parts).agg(F.count("*").alias("n"), F.count_if("tp").alias("c"))
+    start = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0")
+    hits = rows.join(totals.select(*parts, start("n"), start("c")), parts)
+    count = F.col("c0") + F.sum(F.col("tp").cast("long")).over(upto)
+    hits = hits.withColumn("precision", count / (F.col("n0") + F.row_number().over(upto))).filter("tp").select(*parts, "place", "precision")
+    later = Window.partitionBy(*group).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    best = hits.groupBy(*parts).agg(F.max("precision").alias("best"))
+    best = best.select(*parts, F.max("best").over(later).alias("beyond"))
+    back = Window.partitionBy(*parts).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    # recall grows by one truth at each hit
+    envelope = F.greatest(F.max("precision").over(back), "beyond")
+    area = hits.join(best, parts).withColumn("envelope", envelope).groupBy(*group).agg(F.sum("envelope").alias("area"))
+    return truths.filter("num_gt > 0").join(area, group, "left").select(*group, F.coalesce(F.col("area") / F.col("num_gt"), F.lit(0.0)).alias("ap"))
 
 
 def mask_metrics(pixels: DataFrame, image: str, threshold: float) -> DataFrame:

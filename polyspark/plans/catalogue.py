@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,29 +12,31 @@ from polyspark.functions import text, tokens
 from polyspark.operators import lines as ops
 from polyspark.operators import metrics, snapshot, state
 from polyspark.plans import fixtures as fx
+from polyspark.plans import registry
+from polyspark.plans.registry import SQL as _SQL
+from polyspark.plans.registry import query as _query
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
 VOCAB = tokens.Vocabulary()
 SIZE = 224
 
 
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
+#: Modules with further queries.
+MODULES = ("evaluation",)
+
 
-    return add
+def _all() -> None:
+    for name in MODULES:
+        import_module(f"polyspark.plans.{name}")
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    _all()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _all()
+    return dict(registry.SQL)
 
 
 def _r(c, digits: int = 6):
@@ -325,6 +329,18 @@ def mean_chamfer(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mean_chamfer(*fx.sides(spark, d)).withColumn("mean_chamfer", _r("mean_chamfer"))
 
 
+#: The fold at several thresholds: what is used grows prediction by prediction.
+_FOLD = f"""{_COST.replace('WITH ', 'WITH RECURSIVE ', 1)}, near AS (
+  SELECT sample, category, row_number() OVER (PARTITION BY sample, category ORDER BY pred_idx) AS k, list({{'cost': cost, 'gt': gt_idx}} ORDER BY cost, gt_idx) AS near FROM cost GROUP BY sample, category, pred_idx
+), m AS (
+  SELECT t, sample, category, 0::BIGINT AS k, []::BIGINT[] AS used FROM near, (VALUES LEVELS) l(t) WHERE k = 1
+  UNION ALL
+  SELECT t, m.sample, m.category, n.k, CASE WHEN len(list_filter(n.near, lambda b: NOT list_contains(m.used, b.gt))) > 0 AND list_filter(n.near, lambda b: NOT list_contains(m.used, b.gt))[1].cost <= t
+    THEN list_append(m.used, list_filter(n.near, lambda b: NOT list_contains(m.used, b.gt))[1].gt) ELSE m.used END
+  FROM m JOIN near n ON m.sample = n.sample AND m.category = n.category AND n.k = m.k + 1
+)"""
+
+
 @_query(f"""{_COST.replace('WITH ', 'WITH RECURSIVE ', 1)}, near AS (
   SELECT sample, category, pred_idx, row_number() OVER (PARTITION BY sample, category ORDER BY pred_idx) AS k, list({{'cost': cost, 'gt': gt_idx}} ORDER BY cost, gt_idx) AS near FROM cost GROUP BY sample, category, pred_idx
 ), m AS (
@@ -339,9 +355,11 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return metrics.greedy_match(costs, "ord", 15.0).groupBy("sample", "category").agg(F.count("*").alias("matched"))
 
 
-@_query()
+@_query(f"""{_FOLD.replace("LEVELS", "(10.0::DOUBLE), (15.0::DOUBLE), (20.0::DOUBLE)")}, n AS (SELECT (SELECT count(*) FROM pred) AS p, (SELECT count(*) FROM gt) AS g),
+hit AS (SELECT t AS threshold, coalesce(sum(n), 0)::BIGINT AS tp FROM (VALUES (10.0::DOUBLE), (15.0::DOUBLE), (20.0::DOUBLE)) l(t) LEFT JOIN (SELECT t, sample, category, max(len(used)) AS n FROM m GROUP BY ALL) USING (t) GROUP BY t)
+SELECT threshold, tp, p - tp AS fp, g - tp AS fn, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / p) * (tp / g) / (tp / p + tp / g) END, 6) AS f1 FROM hit, n""")
 def f1_at_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.f1_at(*fx.sides(spark, d), [10.0, 15.0, 20.0])
+    return metrics.f1_at(*fx.sides(spark, d), [10.0, 15.0, 20.0]).withColumn("f1", _r("f1"))
 
 
 _RANKED = "ranked AS (SELECT event_type, event_id, value, event_id % 3 = 0 AS tp FROM events), truth AS (SELECT event_type, count(*) FILTER (WHERE tp) + 5 AS num_gt FROM ranked GROUP BY event_type)"
@@ -354,7 +372,7 @@ ap AS (SELECT event_type, sum(gain) AS ap FROM (SELECT event_type, (rec - lag(re
 def _ap(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events").select("event_type", "event_id", "value", (F.col("event_id") % 3 == 0).alias("tp"))
     truth = e.groupBy("event_type").agg((F.count_if("tp") + 5).alias("num_gt"))
-    return metrics.average_precision(e, truth, "event_type", [F.desc("value"), "event_id"])
+    return metrics.average_precision(e, truth, ["event_type"], [F.desc("value"), "event_id"])
 
 
 @_query(f"{_AP} SELECT event_type, round(ap, 6) AS ap FROM ap")
