@@ -1,31 +1,63 @@
-"""The global map: adjacency, attachment of ends, and ordered merging."""
+"""The global map: adjacency, attachment of ends, and ordered merging into versions of lines."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
+from polyspark.operators.linemap import ATTACH_RADIUS, Line, LineMap
+
+POINTS = "array<struct<x:double,y:double>>"
+
 
-ATTACH_RADIUS = 3.0
-JOINT = 1.5
-CELL = 1.0
+def _nine() -> Column:
+    """The cells around one, as an array of steps."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
-def adjacent(patches: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
+def _cell(c: Column, width: float) -> Column:
+    return F.floor(c / width).cast("long")
+
+
+def adjacent(patches: DataFrame, lines: DataFrame, radius: float, on: list[str] = [], alive: Column | None = None) -> DataFrame:  # noqa: B006
     """``token, line``: lines with a vertex within ``radius`` of the patch centre (``x, y``).
 
-    Vertices are dealt to grid cells of the radius' size and each patch looks into nine: an equi-join with a residual.
+    Vertices are dealt to grid cells of the radius' size and each patch looks into nine: an equi-join with a residual. Columns ``on``
+    must be equal as well, and ``alive`` must hold of a patch and a line.
     """
-    cell = lambda c: F.floor(c / radius).cast("long")
-    dots = lines.select("line", F.explode("points").alias("p")).select("line", "p", cell(F.col("p.x")).alias("cx"), cell(F.col("p.y")).alias("cy"))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    looks = patches.select("token", "x", "y", near.alias("d"))
-    looks = looks.select("token", "x", "y", (cell(F.col("x")) + F.col("d.i")).alias("cx"), (cell(F.col("y")) + F.col("d.j")).alias("cy"))
+    dots = lines.drop("token").withColumn("p", F.explode("points")).withColumns({"cx": _cell(F.col("p.x"), radius), "cy": _cell(F.col("p.y"), radius)})
+    looks = patches.withColumn("d", F.explode(_nine()))
+    looks = looks.withColumns({"cx": _cell(F.col("x"), radius) + F.col("d.i"), "cy": _cell(F.col("y"), radius) + F.col("d.j")})
     hit = g.distance(F.col("p"), F.struct("x", "y")) <= radius
-    return looks.join(dots, ["cx", "cy"]).filter(hit).select("token", "line").distinct()
+    both = looks.join(dots, [*on, "cx", "cy"]).filter(hit if alive is None else hit & alive)
+    return both.select("token", "line").distinct()
+
+
+def in_source_window(patches: DataFrame, lines: DataFrame, margin: float, on: list[str] = [], alive: Column | None = None, cell: float = 512.0) -> DataFrame:  # noqa: B006
+    """``token, line``: lines of the patch's original image with a source pixel in its crop widened by ``margin``.
+
+    A band join by cells of source pixels: a crop is dealt to the cells that it touches, a vertex to its own. Patches have
+    ``x_min, y_min, x_max, y_max, original_image``, lines ``source_points, source_image``.
+    """
+    low = lambda c: F.col(f"{c}_min") - margin
+    high = lambda c: F.col(f"{c}_max") + margin
+    span = lambda c: F.sequence(_cell(low(c), cell), _cell(high(c), cell))
+    looks = patches.filter("original_image <> '' AND x_min <= x_max AND y_min <= y_max").withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    dots = lines.drop("token").filter("source_image <> ''").withColumn("q", F.explode("source_points"))
+    dots = dots.withColumns({"cx": _cell(F.col("q.x"), cell), "cy": _cell(F.col("q.y"), cell), "original_image": F.col("source_image")})
+    hit = F.col("q.x").between(low("x"), high("x")) & F.col("q.y").between(low("y"), high("y"))
+    both = looks.join(dots, [*on, "original_image", "cx", "cy"]).filter(hit if alive is None else hit & alive)
+    return both.select("token", "line").distinct()
+
+
+def near_patch(patches: DataFrame, lines: DataFrame, margin: float = 96.0, radius: float = 96.0, on: list[str] = [], alive: Column | None = None) -> DataFrame:  # noqa: B006
+    """``token, line``: lines in the patch's source window, or within ``radius`` metres of its centre."""
+    return in_source_window(patches, lines, margin, on, alive).unionByName(adjacent(patches, lines, radius, on, alive)).distinct()
 
 
 def nearest_end(new: DataFrame, base: DataFrame, radius: float) -> DataFrame:
@@ -33,14 +65,13 @@ def nearest_end(new: DataFrame, base: DataFrame, radius: float) -> DataFrame:
 
     Of equal distances the first way (base end to new start, start to end, end to end, start to start), then the first base.
     """
-    cell = lambda p, c: F.floor(p[c] / radius).cast("long")
 
     def ends(df: DataFrame, name: str) -> DataFrame:
         p = F.posexplode(F.array(F.get("points", F.lit(0)), F.element_at("points", -1))).alias("side", "e")
-        return df.select(F.col("line").alias(name), "category", "line_type", p).withColumns({"cx": cell(F.col("e"), "x"), "cy": cell(F.col("e"), "y")})
+        rows = df.select(F.col("line").alias(name), "category", "line_type", p)
+        return rows.withColumns({"cx": _cell(F.col("e.x"), radius), "cy": _cell(F.col("e.y"), radius)})
 
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    looks = ends(new, "line").withColumn("d", near).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")}).drop("d")
+    looks = ends(new, "line").withColumn("d", F.explode(_nine())).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")}).drop("d")
     looks = looks.withColumnsRenamed({"side": "s", "e": "o"})
     both = looks.join(ends(base, "base"), ["category", "line_type", "cx", "cy"]).withColumn("dist", g.distance(F.col("e"), F.col("o"))).filter(F.col("dist") <= radius)
     # ways in order: base last to new first, base first to new last, last to last, first to first
@@ -49,86 +80,74 @@ def nearest_end(new: DataFrame, base: DataFrame, radius: float) -> DataFrame:
     return both.groupBy("line").agg(best).select("line", "b.base", "b.way", "b.dist")
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One polyline of two: vertices within 1e-3 of the last kept one go, and the first of ``b`` at a small joint."""
-    if len(a) and len(b) and np.hypot(*(a[-1] - b[0])) <= JOINT:
-        b = b[1:]
-    out: list[np.ndarray] = []
-    for p in [*a, *b]:
-        if not out or np.hypot(*(p - out[-1])) > 1e-3:
-            out.append(p)
-    return np.array(out).reshape(-1, 2)
-
-
-def _sign(line: dict, cell: float) -> tuple:
-    p = line["points"]
-    if not len(p):
-        return (line["category"], line["line_type"], (), 0)
-    ends = sorted(tuple(np.rint(q / cell).astype(int).tolist()) for q in (p[0], p[-1]))
-    return (line["category"], line["line_type"], tuple(ends), len(p))
-
-
-def merge_in_order(known: list[dict], new: list[dict], radius: float = ATTACH_RADIUS, cell: float = CELL) -> list[dict]:
-    """Adds ``new`` lines to ``known`` one by one: attached to the nearest end of their kind, dropped if their signature is there."""
-    lines = list(known)
-    seen = {_sign(x, cell) for x in lines}
-    for line in new:
-        line = dict(line)
-        p = line["points"]
-        best = None
-        if len(p) >= 2:
-            for k, base in enumerate(lines):
-                q = base["points"]
-                if len(q) < 2 or (base["category"], base["line_type"]) != (line["category"], line["line_type"]):
-                    continue
-                gaps = [np.hypot(*(u - v)) for u, v in ((q[-1], p[0]), (q[0], p[-1]), (q[-1], p[-1]), (q[0], p[0]))]
-                way = int(np.argmin(gaps))
-                if gaps[way] <= radius and (best is None or gaps[way] < best[0]):
-                    best = (gaps[way], k, way)
-        if best is not None:
-            base = lines.pop(best[1])
-            q, way = base["points"], best[2]
-            cut = lambda t, ok: "cut" if t == "cut" else ok
-            if way == 0:
-                line.update(points=_joined(q, p), start_type=base["start_type"], end_type=line["end_type"])
-            elif way == 1:
-                line.update(points=_joined(p, q), start_type=line["start_type"], end_type=base["end_type"])
-            elif way == 2:
-                line.update(points=_joined(q, p[::-1]), start_type=base["start_type"], end_type=cut(line["start_type"], "end"))
-            else:
-                line.update(points=_joined(p[::-1], q), start_type=cut(line["end_type"], "start"), end_type=base["end_type"])
-        key = _sign(line, cell)
-        if key not in seen:
-            seen.add(key)
-            lines.append(line)
-    return lines
-
-
-MAP_SCHEMA = "scene string, line_no int, category string, line_type string, start_type string, end_type string, points array<struct<x:double,y:double>>"
-
-
-def _lines_of(rows: pd.DataFrame) -> list[dict]:
-    return [
-        {"category": r.category, "line_type": r.line_type, "start_type": r.start_type, "end_type": r.end_type, "points": np.array([(p["x"], p["y"]) for p in r.points], np.float64).reshape(-1, 2)}
-        for r in rows.itertuples()
-    ]
-
-
-def _rows_of(scene: str, lines: list[dict]) -> pd.DataFrame:
-    rows = [(scene, k, x["category"], x["line_type"], x["start_type"], x["end_type"], [{"x": float(a), "y": float(b)} for a, b in x["points"]]) for k, x in enumerate(lines)]
-    return pd.DataFrame(rows, columns=["scene", "line_no", "category", "line_type", "start_type", "end_type", "points"])
+_VERSION = (
+    "scene string, pos long, rank int, seq long, died long, category string, line_type string, start_type string, end_type string,"
+    f" points {POINTS}, source_points {POINTS}, source_image string"
+)
+_KEY = ["scene", "category", "line_type"]
 
 
-def merge_maps(lines: DataFrame, radius: float = ATTACH_RADIUS) -> DataFrame:
-    """The merged map of every scene: patches in scan order (``pos``), their lines in order (``rank``).
+def as_array(points) -> np.ndarray:
+    return np.array([(p["x"], p["y"]) for p in points], np.float64).reshape(-1, 2)
 
-    The merge depends on order, so a scene is one group; scenes run in parallel and a scene's state is its map, not its patches.
+
+def as_points(array: np.ndarray) -> list[dict]:
+    return [{"x": float(x), "y": float(y)} for x, y in array]
+
+
+def _row(key: tuple, line: Line, died: int | None) -> tuple:
+    (scene, category, line_type), (pos, rank, seq) = key, line.order
+    return (scene, pos, rank, seq, died, category, line_type, *line.kinds, as_points(line.points), line.extra.get("source_points"), line.extra.get("source_image"))
+
+
+def _versions(radius: float):
+    columns = [c.split()[0] for c in _VERSION.replace(POINTS, "p").split(",")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns)
+        return out.astype({"died": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, lines, seq = None, LineMap(radius), 0
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.itertuples(index=False):
+                if (r.scene, r.category, r.line_type) != key:
+                    rows += [_row(key, x, None) for x in lines.lines.values()]
+                    key, lines = (r.scene, r.category, r.line_type), LineMap(radius)
+                source = {} if r.source_image is None else {"source_points": r.source_points, "source_image": r.source_image}
+                # repeated rows share a place, so a running number tells them apart
+                seq += 1
+                _, gone = lines.add(Line((int(r.pos), int(r.rank), seq), as_array(r.points), (r.start_type, r.end_type), source))
+                if gone is not None:
+                    rows.append(_row(key, gone, int(r.pos)))
+            yield frame(rows)
+        yield frame([_row(key, x, None) for x in lines.lines.values()])
+
+    return run
+
+
+def map_versions(lines: DataFrame, radius: float = ATTACH_RADIUS) -> DataFrame:
+    """Every version of every line of the growing map: ``pos, rank, seq`` of the new line that made it, ``died`` the patch at which another took it up.
+
+    Lines (``scene, pos, rank, category, line_type, start_type, end_type, points`` in metres, and ``source_points, source_image``
+    where there are any) are added in the order of ``pos, rank``. Only lines of one category and type ever meet, so each kind of a
+    scene is merged by itself; rows are streamed in order and a task holds one kind's live lines, not its input. A line that
+    took up another one has no source pixels.
     """
+    for c, kind in (("source_points", POINTS), ("source_image", "string")):
+        if c not in lines.columns:
+            lines = lines.withColumn(c, F.lit(None).cast(kind))
+    rows = lines.select(
+        F.col("scene").cast("string").alias("scene"), F.col("pos").cast("long").alias("pos"), F.col("rank").cast("int").alias("rank"),
+        F.coalesce("category", F.lit("")).alias("category"), F.coalesce("line_type", F.lit("")).alias("line_type"), "start_type", "end_type", "points", "source_points", "source_image",
+    )
+    rows = rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "pos", "rank")
+    return rows.mapInPandas(_versions(radius), _VERSION)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        known: list[dict] = []
-        for _, patch in rows.sort_values(["pos", "rank"], kind="stable").groupby("pos", sort=True):
-            known = merge_in_order(known, _lines_of(patch), radius)
-        return _rows_of(key[0], known)
 
-    return lines.select("scene", "pos", "rank", "category", "line_type", "start_type", "end_type", "points").groupBy("scene").applyInPandas(run, MAP_SCHEMA)
+def merge_maps(lines: DataFrame, radius: float = ATTACH_RADIUS) -> DataFrame:
+    """The merged map of every scene: the versions that nothing took up, numbered in their order."""
+    alive = map_versions(lines, radius).filter("died IS NULL")
+    number = F.row_number().over(Window.partitionBy("scene").orderBy("pos", "rank", "seq")) - 1
+    return alive.select("scene", number.alias("line_no"), "category", "line_type", "start_type", "end_type", "points")

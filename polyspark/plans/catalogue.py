@@ -21,7 +21,7 @@ SIZE = 224
 
 
 #: Modules with further queries.
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "states")
 
 
 def _all() -> None:

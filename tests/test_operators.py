@@ -1,12 +1,11 @@
 import json
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
 from polyspark.functions import text, tokens
-from polyspark.operators import lines, metrics, state
+from polyspark.operators import lines, metrics
 from polyspark.sources import annotations as a
 
 LINE = "token string, line_idx int, category string, line_type string, points array<struct<x:double,y:double>>"
@@ -71,31 +70,6 @@ def test_greedy_match(spark):
         assert metrics.greedy_match(df, "ord", t).count() == brute_match(c, t)
 
 
-def make(points, kind="curb"):
-    return {"category": kind, "line_type": "", "start_type": "start", "end_type": "end", "points": np.array(points, float)}
-
-
-@pytest.mark.parametrize(
-    "old, new, want",
-    [
-        ([(0, 0), (10, 0)], [(11, 0), (20, 0)], [(0, 0), (10, 0), (20, 0)]),
-        ([(11, 0), (20, 0)], [(0, 0), (10, 0)], [(0, 0), (10, 0), (20, 0)]),
-        ([(0, 0), (10, 0)], [(20, 0), (11, 0)], [(0, 0), (10, 0), (20, 0)]),
-        ([(10, 0), (0, 0)], [(11, 0), (20, 0)], [(20, 0), (11, 0), (0, 0)]),
-    ],
-)
-def test_merge_in_each_direction(old, new, want):
-    out = state.merge_in_order([make(old)], [make(new)])
-    assert [tuple(map(float, p)) for p in out[0]["points"]] == [tuple(map(float, p)) for p in want] and len(out) == 1
-
-
-def test_merge_keeps_other_kinds_and_drops_repeats():
-    a, b = make([(0, 0), (10, 0)]), make([(11, 0), (20, 0)], "lane_line")
-    far = make([(100, 0), (120, 0)])
-    out = state.merge_in_order([], [a, b, far, make([(300, 0)]), make([(300, 0)])])
-    assert len(out) == 4
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"p_satellite.png": {"image_width": 100, "lines": [{"category": "Curb", "points": [[1, 2], [3, 4], [5]]}]}, "bad": 3}))
     r = a.read_annotations(spark, str(tmp_path / "a.json")).collect()
