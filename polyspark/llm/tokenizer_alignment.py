@@ -1,17 +1,17 @@
 """Alignment of two tokenizers: which tokens of A and B overlap, in DuckDB over the token intervals of an Arrow partition.
 
-Both tokenizers cover the bytes of a space and the text. A text is cut in front of spaces that follow a character that is no white
-space: no pre-token of A and no piece of B goes on across such a place (checked for the vocabulary), so both have a token end
-there, and each distinct unit of a slice of texts is coded and aligned once. DuckDB holds the token intervals of all units end to
-end: two ASOF joins find the first and the last B token that overlap each A token, the range between them gives the links, an
-equi-join of ends gives the cuts, window sums of cuts number the groups, and documents sum over their units.
-
-A pair's count (documents that hold it linked) is summed from each slice's partial counts in Spark. Pairs above a
-share of all (document, pair) rows, fewer than ``HOT_PAIRS`` by that share, are broadcast and summed in the tasks; links of all other
+Both tokenizers cover the bytes of a space and the text. A text is cut into units, in front of spaces that follow a character that is
+no white space: no pre-token of A and no piece of B goes on across such a place (checked for the vocabulary), so both have a token end
+there. A task codes and aligns each distinct unit once and remembers up to ``MEMO_UNITS``. New units go to DuckDB together, as token
+intervals end to end: two ASOF joins find the first and the last B token that overlap each A token and the range between them gives
+the links; an equi-join of ends gives the cuts, and window sums of cuts number the groups. Documents sum over their units.
+
+Each document's distinct pairs are written once. Partial counts of pairs (documents that hold them linked) are merged in Spark. Pairs above a
+share of all (document, pair) rows, fewer than ``HOT_PAIRS`` by that share, are broadcast and summed in the tasks; all other
 pairs leave the task as (document, pair, number) and meet their counts in a shuffle in which no pair has more than that share.
 
 Cases: a null or empty text, or one whose token bytes differ from its own (such as one with U+2581, which B takes for a space),
-has no tokens: zeros and no groups. Repeated rows are documents of their own. A very long text is a slice of its own. An
+has no tokens: zeros and no groups. Repeated rows are documents of their own. A very long text is taken in blocks of units. An
 empty table gives an empty result. Only ``key`` and ``text`` are read, so other columns cannot clash.
 """
 
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,14 @@ from polyspark.llm.sentencepiece_codec import MARK, slices
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 3 << 20
+#: Units that a task remembers; when there are more it starts afresh.
+MEMO_UNITS = 600_000
 #: Pairs above this share of all rows are broadcast; there are fewer of them than this.
 HOT_PAIRS = 1 << 20
-DUCKDB_MEMORY = "400MB"
+DUCKDB_MEMORY = "200MB"
+#: Characters of a text whose units are held at once.
+BLOCK_CHARS = 1 << 20
 #: Spaces in a row, or after other white space: such texts are cut with more care.
 _SPACES = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -91,135 +97,251 @@ class Coder:
         # of an empty text B makes nothing, not even its space
         return a, [ids if len(u) > 1 else [self.space] for u, ids in zip(units, b)]
 
+    def encode_row(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of units that end in no white space, one behind the other as a single text; none if their bytes are not the text's."""
+        whole = "".join(units)
+        a = self.a.encode(whole, add_special_tokens=False).ids
+        b = self.b.encode(whole[1:])
+        raw = whole.encode()
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def blocks_of(text: str) -> Iterator[list[str]]:
+    """The units of a space and the text, in blocks of about ``BLOCK_CHARS``."""
+    whole, at = " " + text, 0
+    while at < len(whole):
+        cut = _CUT.search(whole, at + BLOCK_CHARS) if len(whole) - at > BLOCK_CHARS else None
+        end = cut.start() if cut else len(whole)
+        part = whole if at == 0 and end == len(whole) else whole[at:end]
+        yield _CUT.split(part) if _SPACES.search(part) else [" " + w for w in part[1:].split(" ")]
+        at = end
+
 
 def units_of(text: str) -> list[str]:
-    """A space and the text, cut where both tokenizers end a token."""
-    whole = " " + text
-    if _SPACES.search(whole):
-        return _CUT.split(whole)
-    return [" " + w for w in whole[1:].split(" ")]
+    return [u for block in blocks_of(text) for u in block]
 
 
 _LINKS = """
-CREATE TEMP TABLE links AS
 WITH lo AS (SELECT a.k, a.u, a.id, a.e, b.k AS lo FROM a ASOF JOIN b ON a.s >= b.s),
-     hi AS (SELECT lo.u, lo.id, lo.lo, b.k AS hi FROM lo ASOF JOIN b ON lo.e > b.s),
+     hi AS (SELECT lo.k, lo.u, lo.id, lo.lo, b.k AS hi FROM lo ASOF JOIN b ON lo.e > b.s),
      wide AS (SELECT u, id, unnest(range(lo, hi + 1)) AS k FROM hi)
-SELECT wide.u, wide.id AS a, b.id AS b, count(*) AS m FROM wide JOIN b ON wide.k = b.k GROUP BY ALL
+SELECT wide.u, (wide.id::BIGINT << 32) + b.id AS pair FROM wide JOIN b ON wide.k = b.k ORDER BY wide.u
 """
 _GROUPS = """
-CREATE TEMP TABLE unit AS
 WITH ga AS (SELECT a.u, a.id, a.k, sum((b.e IS NOT NULL)::INT) OVER (ORDER BY a.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM a LEFT JOIN b ON a.e = b.e),
-     gb AS (SELECT b.u, b.id, b.k, sum((a.e IS NOT NULL)::INT) OVER (ORDER BY b.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM b LEFT JOIN a ON a.e = b.e),
-     sa AS (SELECT u, coalesce(g, 0) AS g, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM ga GROUP BY ALL),
-     sb AS (SELECT coalesce(g, 0) AS g, string_agg(id, ',' ORDER BY k) AS ids, count(*) AS n FROM gb GROUP BY ALL)
-SELECT u, sum(sa.n) AS n_a, sum(sb.n) AS n_b, count(*) AS n_groups, string_agg(sa.ids || '|' || sb.ids, ';' ORDER BY g) AS groups FROM sa JOIN sb USING (g) GROUP BY u
-"""
-_PAIRS = """
-SELECT a, b, count(*) AS n FROM (
-  SELECT DISTINCT d, a, b FROM (SELECT DISTINCT d, u FROM occ WHERE d NOT IN (SELECT d FROM occ WHERE NOT ok)) JOIN links USING (u)
-) GROUP BY ALL
-"""
-_DOCS = """
-WITH good AS (SELECT d, pos, u FROM occ WHERE d NOT IN (SELECT d FROM occ WHERE NOT ok)),
-     counted AS (SELECT l.*, h.n, h.best FROM links l LEFT JOIN hot h ON l.a = h.a AND l.b = h.b),
-     per AS (SELECT u, sum(m) AS n_links, sum(m) FILTER (WHERE best) AS n_best, sum(m * n) AS count_sum FROM counted GROUP BY u),
-     sums AS (SELECT d, sum(n_a) AS n_a, sum(n_b) AS n_b, sum(n_groups) AS n_groups, sum(n_links) AS n_links, coalesce(sum(n_best), 0) AS n_best, coalesce(sum(count_sum), 0) AS count_sum,
-                     {groups} AS groups FROM good JOIN unit USING (u) JOIN per USING (u) GROUP BY d),
-     cold AS (SELECT d, list({{'a': a, 'b': b, 'm': m}}) AS cold FROM (SELECT d, a, b, sum(m)::BIGINT AS m FROM good JOIN counted USING (u) WHERE n IS NULL GROUP BY ALL) GROUP BY d)
-SELECT t.d, {numbers}, coalesce(groups, '') AS groups, cold FROM range({n}) t(d) LEFT JOIN sums USING (d) LEFT JOIN cold USING (d) ORDER BY t.d
+     gb AS (SELECT b.u, b.id, b.k, sum((a.e IS NOT NULL)::INT) OVER (ORDER BY b.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM b LEFT JOIN a ON a.e = b.e)
+SELECT u::BIGINT AS u, coalesce(g, 0)::BIGINT AS g, side, id FROM (SELECT u, g, 0 AS side, k, id FROM ga UNION ALL SELECT u, g, 1, k, id FROM gb) ORDER BY 2, side, k
 """
+_COUNT = "SELECT pair, count(*) AS n FROM incoming GROUP BY pair"
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_COLD = "array<struct<a:int,b:int,m:bigint>>"
+_COLD = "array<struct<pair:bigint,m:bigint>>"
 
 
-class _Aligner:
-    """A DuckDB database of one task; its tables hold one slice of texts at a time."""
+class _Units:
+    """What a task knows of units: sizes, the text of their groups, and the pairs of their links one behind the other."""
 
     def __init__(self, models: Models):
+        self.coder = Coder(models)
+        self.length_a = np.array([len(x) for x in self.coder.bytes_a], np.int64)
+        self.length_b = np.array([len(x) for x in self.coder.bytes_b], np.int64)
+        self.names = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        # by unit: tokens of A and of B, groups, links, whether the bytes are right, and where its links begin
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.ok = np.zeros(0, bool)
+        self.first_link = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+
+    def numbers(self, blocks: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the units of each block; new units are coded and aligned first."""
+        if len(self.number) > MEMO_UNITS:
+            self.reset()
+        new = {u: None for block in blocks for u in block if u not in self.number}
+        if new:
+            self._learn(list(new))
+        number = self.number
+        return [np.array([number[u] for u in block], np.int64) for block in blocks]
+
+    def _code(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of A and B one behind the other, each with its unit, and which units are right."""
+        rank = {u: k for k, u in enumerate(units)}
+        plain = [u for u in units if not u[-1].isspace() and MARK not in u]
+        rest = [u for u in units if u[-1].isspace() or MARK in u]
+        ok, out = np.zeros(len(units), bool), []
+        row = self.coder.encode_row(plain) if plain else (np.zeros(0, np.int64),) * 2
+        if row is None:
+            rest, plain, row = units, [], (np.zeros(0, np.int64),) * 2
+        ends = np.cumsum([len(u.encode()) for u in plain]) if plain else np.zeros(0, np.int64)
+        order = np.array([rank[u] for u in plain], np.int64)
+        ok[order] = True
+        for ids, lengths in zip(row, (self.length_a, self.length_b)):
+            at = np.cumsum(lengths[ids])
+            out.append((ids, order[np.searchsorted(ends, at)] if len(ids) else ids))
+        if rest:
+            a, b = self.coder.encode(rest)
+            for u, x, y in zip(rest, a, b):
+                raw = u.encode()
+                ok[rank[u]] = b"".join([self.coder.bytes_a[i] for i in x]) == raw == b"".join([self.coder.bytes_b[i] for i in y])
+            right = [k for k, u in enumerate(rest) if ok[rank[u]]]
+            for side, coded in enumerate((a, b)):
+                ids = np.array([i for k in right for i in coded[k]], np.int64)
+                which = np.array([rank[rest[k]] for k in right for _ in coded[k]], np.int64)
+                out[side] = (np.concatenate([out[side][0], ids]), np.concatenate([out[side][1], which]))
+        return (*out, ok)
+
+    def _learn(self, units: list[str]) -> None:
         import duckdb
 
-        self.coder = Coder(models)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": tempfile.mkdtemp(prefix="duckdb-")})
-
-    def _tokens(self, name: str, coded: list[list[int]], lengths: np.ndarray, numbers: np.ndarray) -> None:
-        """The token intervals of all units end to end: ``k, u, id, s, e``."""
-        counts = np.array([len(x) for x in coded], np.int64)
-        ids = np.fromiter((i for x in coded for i in x), np.int32, int(counts.sum()))
-        ends = np.cumsum(lengths[ids]) if len(ids) else np.zeros(0, np.int64)
-        table = {"k": np.arange(len(ids)), "u": np.repeat(numbers, counts), "id": ids, "s": ends - lengths[ids], "e": ends}
-        self._put(name, pa.table(table))
-
-    def _put(self, name: str, table: pa.Table) -> None:
-        self.db.register("incoming", table)
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
-        self.db.unregister("incoming")
-
-    def load(self, texts: list[str | None]) -> None:
-        """Codes and aligns the distinct units of the texts; ``occ`` has the units of each text in order."""
-        split = [units_of(t) if t else [] for t in texts]
-        counts = np.array([len(x) for x in split], np.int64)
-        flat = pa.array([u for x in split for u in x], pa.string()).dictionary_encode()
-        units = flat.dictionary.to_pylist()
-        coder = self.coder
-        a, b = coder.encode(units)
-        ok = np.array([b"".join([coder.bytes_a[i] for i in x]) == (raw := u.encode()) and b"".join([coder.bytes_b[i] for i in y]) == raw for u, x, y in zip(units, a, b)], bool)
-        number = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        good = np.flatnonzero(ok)
-        self._tokens("a", [a[k] for k in good], np.array([len(x) for x in coder.bytes_a], np.int64), good)
-        self._tokens("b", [b[k] for k in good], np.array([len(x) for x in coder.bytes_b], np.int64), good)
-        total = int(counts.sum())
-        doc = np.repeat(np.arange(len(texts), dtype=np.int64), counts)
-        self._put("occ", pa.table({"d": doc, "pos": np.arange(total), "u": number, "ok": ok[number] if total else np.zeros(0, bool)}))
-        self.db.execute("DROP TABLE IF EXISTS links")
-        self.db.execute(_LINKS)
-
-    def pairs(self) -> pa.Table:
-        return self.db.execute(_PAIRS).to_arrow_table()
-
-    def documents(self, n: int, digest: bool) -> pa.Table:
-        self.db.execute("DROP TABLE IF EXISTS unit")
-        self.db.execute(_GROUPS)
-        groups = "string_agg(groups, ';' ORDER BY pos)"
-        numbers = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in NUMBERS)
-        return self.db.execute(_DOCS.format(groups=f"sha256({groups})" if digest else groups, numbers=numbers, n=n)).to_arrow_table()
-
-
-def _count(shared):
-    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+        (a, of_a), (b, of_b), ok = self._code(units)
+        n, base = len(units), len(self.texts)
+        with duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": f"{tempfile.gettempdir()}/duckdb-{uuid.uuid4().hex}"}) as db:
+            for name, ids, which, lengths in (("a", a, of_a, self.length_a), ("b", b, of_b, self.length_b)):
+                ends = np.cumsum(lengths[ids])
+                db.register("incoming", pa.table({"k": np.arange(len(ids)), "u": which, "id": ids, "s": ends - lengths[ids], "e": ends}))
+                db.execute(f"CREATE TEMP TABLE {name} AS SELECT * FROM incoming")
+            links = db.sql(_LINKS).fetchnumpy()
+            tokens = db.sql(_GROUPS).fetchnumpy()
+        n_links = np.bincount(links["u"], minlength=n)
+        u, g, side, ids = (np.asarray(tokens[c]) for c in ("u", "g", "side", "id"))
+        texts, groups = [""] * n, np.zeros(n, np.int64)
+        if len(u):
+            start = np.concatenate([[True], u[1:] != u[:-1]])
+            turn = np.concatenate([[0], side[1:] - side[:-1]])
+            mark = np.where(start, 0, np.where(turn > 0, 1, np.where(turn < 0, 2, 3)))
+            parts = ["" if m == 0 else "|" if m == 1 else ";" if m == 2 else "," for m in mark.tolist()]
+            names = self.names
+            parts = [m + names[i] for m, i in zip(parts, ids.tolist())]
+            bounds = [*np.flatnonzero(start).tolist(), len(u)]
+            for x, z in zip(bounds, bounds[1:]):
+                texts[u[x]] = "".join(parts[x:z])
+            groups = np.bincount(u[np.concatenate([[True], g[1:] != g[:-1]])], minlength=n)
+        sizes = np.column_stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), groups, n_links]).astype(np.int64)
+        self.first_link = np.concatenate([self.first_link, len(self.pairs) + np.cumsum(n_links) - n_links])
+        self.pairs = np.concatenate([self.pairs, np.asarray(links["pair"], np.int64)])
+        self.sizes, self.ok = np.vstack([self.sizes, sizes]), np.concatenate([self.ok, ok])
+        self.texts += texts
+        self.number.update({x: base + k for k, x in enumerate(units)})
+
+    def pairs_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of the links of these units, and how often each occurs."""
+        counts = self.sizes[units, 3]
+        at = np.repeat(self.first_link[units] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        return np.unique(self.pairs[at], return_counts=True)
+
+
+_UNITS: dict[int, _Units] = {}
+
+
+def _known(shared) -> _Units:
+    """The units of this Python process: later tasks go on with them."""
+    if shared.value.n_bytes() not in _UNITS:
+        _UNITS.clear()
+        _UNITS[shared.value.n_bytes()] = _Units(shared.value)
+    return _UNITS[shared.value.n_bytes()]
+
+
+def _document(known: _Units, units: list[np.ndarray], digest: bool) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
+    """Sizes, groups, distinct pairs and their numbers of a text; none where a unit's bytes are wrong."""
+    if not units or not all(known.ok[x].all() for x in units):
+        return None
+    sizes = sum(known.sizes[x].sum(axis=0) for x in units).tolist()
+    texts = known.texts
+    joined = (";".join([texts[i] for i in x.tolist()]) for x in units)
+    if digest:
+        h, first = sha256(), True
+        for part in joined:
+            h.update((part if first else ";" + part).encode())
+            first = False
+        groups = h.hexdigest()
+    else:
+        groups = ";".join(joined)
+    pairs, times = known.pairs_of(units[0])
+    for x in units[1:]:
+        more, again = known.pairs_of(x)
+        pairs, where = np.unique(np.concatenate([pairs, more]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([times, again])).astype(np.int64)
+    return sizes, groups, pairs, times
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
+
+
+def _align(shared, digest: bool):
+    none = ([0, 0, 0, 0], "", np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = None
+        known = _known(shared)
         for whole in batches:
             for b in slices(whole, "text", SLICE_BYTES):
-                one = one or _Aligner(shared.value)
-                one.load(b.column("text").to_pylist())
-                yield from one.pairs().cast(schema).to_batches()
+                blocks = [[*blocks_of(t)] if t else [] for t in b.column("text").to_pylist()]
+                numbers = iter(known.numbers([x for doc in blocks for x in doc]))
+                rows = [_document(known, [next(numbers) for _ in doc], digest) or none for doc in blocks]
+                sizes = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(4)]
+                columns = [b.column("key"), *sizes, pa.array([r[1] for r in rows], pa.string()), _lists([r[2] for r in rows]), _lists([r[3] for r in rows])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", *NUMBERS[:4], "groups", "pairs", "times"])
 
     return run
 
 
-def pair_counts(docs: DataFrame, models: Models | None = None, text: str = "text") -> DataFrame:
-    """``a, b, n``: in how many documents a token of A and one of B overlap."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import duckdb
+
+    with duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": f"{tempfile.gettempdir()}/duckdb-{uuid.uuid4().hex}"}) as db:
+        for b in batches:
+            db.register("incoming", pa.table({"pair": b.column("pairs").flatten()}))
+            got = db.sql(_COUNT).fetchnumpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(got[c], np.int64)) for c in ("pair", "n")], ["pair", "n"])
+
+
+def aligned(docs: DataFrame, models: Models | None = None, digest: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row, key, n_a, n_b, n_groups, n_links, groups`` and the distinct ``pairs`` of every row with their ``times``: a written table."""
     models = models or load_models()
     shared = broadcast_value(docs.sparkSession, models, models.n_bytes())
-    return docs.select(F.col(text).alias("text")).mapInArrow(_count(shared), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    kind = docs.select(key).schema[key].dataType.simpleString()
+    sizes = "".join(f", {c} long" for c in NUMBERS[:4])
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(_align(shared, digest), f"key {kind}{sizes}, groups string, pairs array<long>, times array<long>")
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
 
 
-def _align(shared, hot, digest: bool):
-    cold = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int64())]))
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.select("pairs").mapInArrow(_count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(docs: DataFrame, models: Models | None = None, text: str = "text") -> DataFrame:
+    """``a, b, n``: in how many documents a token of A and one of B overlap."""
+    rows = aligned(docs.select(F.lit(1).alias("key"), F.col(text).alias("text")), models, True, "key", "text")
+    return _merged(rows).select(_a().alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"), "n")
+
+
+def _a():
+    return F.shiftright("pair", 32).cast("int")
+
+
+def _look_up(hot):
+    cold = pa.list_(pa.struct([("pair", pa.int64()), ("m", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = None
-        for whole in batches:
-            for b in slices(whole, "text", SLICE_BYTES):
-                if one is None:
-                    one = _Aligner(shared.value)
-                    one._put("hot", pa.table(hot.value))
-                one.load(b.column("text").to_pylist())
-                got = one.documents(b.num_rows, digest)
-                columns = [got.column(c).combine_chunks() for c in (*NUMBERS, "groups")] + [got.column("cold").combine_chunks().cast(cold)]
-                yield pa.RecordBatch.from_arrays([b.column("key"), *columns], ["key", *NUMBERS, "groups", "cold"])
+        keys, counts, best = (hot.value[c] for c in ("pair", "n", "best"))
+        for b in batches:
+            pairs, times = (b.column(c).flatten().to_numpy() for c in ("pairs", "times"))
+            bounds = np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(b.column("pairs")).to_pylist(), np.int64))])
+            at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+            found = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
+            n, top = (np.where(found, x[at] if len(keys) else 0, 0) for x in (counts, best))
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])  # noqa: B023, E731
+            rest = np.flatnonzero(~found)
+            left = pa.StructArray.from_arrays([pa.array(pairs[rest]), pa.array(times[rest])], ["pair", "m"])
+            left = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds).astype(np.int32)), left).cast(cold)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(total(times * top)), pa.array(total(times * n)), left], ["row", "n_best", "count_sum", "cold"])
 
     return run
 
@@ -231,25 +353,22 @@ def align(docs: DataFrame, models: Models | None = None, digest: bool = False, k
     ``n_best`` are the links whose pair has the highest count of all pairs of its A token, ``count_sum`` is the sum of the links' counts.
     """
     spark = docs.sparkSession
-    models = models or load_models()
-    shared = broadcast_value(spark, models, models.n_bytes())
-    pairs = materialize(pair_counts(docs, models, text), "pair-counts")
+    rows = aligned(docs, models, digest, key, text)
+    pairs = materialize(_merged(rows), "pair-counts").withColumn("a", _a())
     # a row for each token of A at most
     top = pairs.groupBy("a").agg(F.max("n").alias("top"))
-    pairs = pairs.join(F.broadcast(top), "a").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
+    pairs = pairs.join(F.broadcast(top), "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
     total = pairs.agg(F.sum("n")).first()[0] or 0
     common = (F.col("n") * HOT_PAIRS) > total
-    found = pairs.filter(common).toArrow()
-    hot = broadcast_value(spark, {c: found.column(c).to_numpy() for c in ("a", "b", "n", "best")}, found.nbytes)
-    kind = docs.select(key).schema[key].dataType.simpleString()
-    out = "".join(f", {c} long" for c in NUMBERS)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_align(shared, hot, digest), f"key {kind}{out}, groups string, cold {_COLD}")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
-    cold = rows.select("row", F.inline("cold")).join(pairs.filter(~common), ["a", "b"])
+    found = pairs.filter(common).toArrow().sort_by("pair")
+    hot = broadcast_value(spark, {c: found.column(c).to_numpy() for c in ("pair", "n", "best")}, found.nbytes)
+    sums = rows.select("row", "pairs", "times").mapInArrow(_look_up(hot), f"row long, n_best long, count_sum long, cold {_COLD}")
+    sums = materialize(sums, "pair-sums")
+    cold = sums.select("row", F.inline("cold")).join(pairs.filter(~common), "pair")
     cold = cold.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("m"))).alias("cold_best"), F.sum(F.col("m") * F.col("n")).alias("cold_sum"))
-    rows = rows.drop("cold").join(cold, "row", "left")
+    rows = rows.select("row", F.col("key").alias(key), *NUMBERS[:4], "groups").join(sums.drop("cold"), "row").join(cold, "row", "left")
     plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).cast("long").alias(c)
-    return rows.select(F.col("key").alias(key), *NUMBERS[:4], plus("n_best", "cold_best"), plus("count_sum", "cold_sum"), "groups")
+    return rows.select(key, *NUMBERS[:4], plus("n_best", "cold_best"), plus("count_sum", "cold_sum"), "groups")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

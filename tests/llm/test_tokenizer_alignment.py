@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -69,6 +70,13 @@ def test_units_code_as_the_whole(text):
     assert "".join(t.units_of(text)) == " " + text
 
 
+def test_blocks_are_cut_between_units(monkeypatch):
+    text = "a  bc d   ef\n g " * 40 + "x" * 100 + " end"
+    whole = t.units_of(text)
+    monkeypatch.setattr(t, "BLOCK_CHARS", 30)
+    assert len([*t.blocks_of(text)]) > 5 and t.units_of(text) == whole
+
+
 @pytest.fixture(scope="module")
 def mixed(spark, texts):
     short = [x if x is None or len(x) < 3000 else x[:3000] for x in texts]
@@ -76,14 +84,31 @@ def mixed(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, `key` string, n_a int").repartition(3)
 
 
-@pytest.mark.parametrize("hot,size", [(1 << 20, 16 << 20), (40, 2000)])
-def test_as_brute_force(spark, mixed, monkeypatch, hot, size):
-    """Also with most pairs too rare for the broadcast, and slices of a few texts."""
+@pytest.mark.parametrize("hot", [1 << 20, 40])
+def test_as_brute_force(spark, mixed, monkeypatch, hot):
+    """Also with most pairs too rare for the broadcast."""
     monkeypatch.setattr(t, "HOT_PAIRS", hot)
-    monkeypatch.setattr(t, "SLICE_BYTES", size)
     assert took(t.align(mixed)) == brute(mixed.collect())
 
 
+def test_task_by_itself(mixed, monkeypatch):
+    """Slices of a few texts, blocks of a few units and a memory that is soon full."""
+
+    class Shared:
+        value = t.load_models()
+
+    for name, size in (("SLICE_BYTES", 2000), ("BLOCK_CHARS", 50), ("MEMO_UNITS", 300)):
+        monkeypatch.setattr(t, name, size)
+    t._UNITS.clear()
+    rows = mixed.collect()
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([r.doc_id for r in rows]), "text": pa.array([r.text for r in rows])})
+    got = [r for b in t._align(Shared, False)(iter([batch])) for r in b.to_pylist()]
+    for r, x in zip(rows, got):
+        groups, links, n_a, n_b, n_groups = aligned(r.text)
+        assert (x["groups"], x["n_a"], x["n_b"], x["n_groups"], x["n_links"]) == (groups, n_a, n_b, n_groups, len(links))
+        assert dict(zip(x["pairs"], x["times"])) == Counter((a << 32) + b for a, b in links)
+
+
 def test_query(spark):
     at = "/root/testdata/sf0.001"
     want = [(*x[:-1], hashlib.sha256(x[-1].encode()).hexdigest() if x[-1] else "") for x in brute(spark.read.parquet(f"{at}/documents.parquet").collect())]
