@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names of categories and line types.
 CATEGORIES = ("curb", "lane_line", "virtual_line")
 LINE_TYPES = ("solid", "thick_solid", "dashed", "short_dashed", "others")
 
@@ -63,3 +66,39 @@ def phrase(token: Column) -> Column:
     kind = F.regexp_extract(token, "^<([a-z]+)_.*>$", 1)
     name = F.replace(F.regexp_extract(token, "^<[a-z]+_(.*)>$", 1), F.lit("_"), F.lit(" "))
     return F.coalesce(F.try_element_at(special, token), F.concat(F.try_element_at(kinds, kind), name), F.lit(""))
+
+
+# What a prompt says about the state and about line types.
+WITH_STATE = (
+    "A serialized previous map state is provided before the current map tokens. Tokens <s_cut> and <e_cut> mark connections crossing patch borders. "
+    "Use these cut endpoints to continue connectivity inside the current patch, and avoid duplicating already-updated segments."
+)
+WITHOUT_STATE = "No previous map state is available for this patch. Start a new serialized map for the current patch."
+NO_STATE_USED = "Generate the serialized vector map for the current patch."
+WITH_TYPES = "For each polyline, also output its line type using one of: {}."
+
+
+def prompt_text(template: str, prefix_lines: Column | None, fixed: dict[str, object], types: tuple[str, ...] = ()) -> Column:
+    """The prompt of a row: ``template`` with ``fixed`` values and what depends on the number of prefix lines (null column: no state is used).
+
+    ``{state_instruction}``, ``{line_type_instruction}``, ``{state_prefix_count}`` and ``{state_available}`` may stand in the template; instructions
+    that do not are added behind it. Any other name in it is an error.
+    """
+    count = F.lit(0) if prefix_lines is None else F.coalesce(prefix_lines, F.lit(0))
+    state = F.lit(NO_STATE_USED) if prefix_lines is None else F.when(count > 0, WITH_STATE).otherwise(WITHOUT_STATE)
+    about_types = WITH_TYPES.format(", ".join(types)) if types else ""
+    by_row = {"state_instruction": state, "state_prefix_count": count.cast("string"), "state_available": F.when(count > 0, "yes").otherwise("no")}
+    values = {**fixed, "line_types": ", ".join(types), "line_type_instruction": about_types}
+    names = {name for _, name, _, _ in Formatter().parse(template) if name is not None}
+    if names - set(values) - set(by_row):
+        raise ValueError(f"the template has unknown names: {sorted(names - set(values) - set(by_row))}")
+    parts = []
+    for before, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(before))
+        if name is not None:
+            parts.append(by_row[name] if name in by_row else F.lit(str(values[name])))
+    text = F.concat(*parts) if parts else F.lit("")
+    extras = [] if "state_instruction" in names else [state]
+    if about_types and "line_type_instruction" not in names:
+        extras.append(F.lit(about_types))
+    return F.concat_ws(" ", F.regexp_replace(text, "\\s+$", ""), *extras) if extras else text

@@ -139,7 +139,7 @@ def target_prompt(first: Column, last: Column, v: Vocabulary) -> Column:
 
 
 def state_prefix(lines: Column, mode: str, max_lines: int, trace_points: int = 3) -> Column:
-    """The lines that stand for the state before a patch: all of them, those cut at the border, or the ends that are cut."""
+    """The lines that stand for the state before a patch: all of them, those cut at the border, the ends that are cut, or their last points."""
     cut = lambda x: (x["start_type"] == "cut") | (x["end_type"] == "cut")
     k = max(2, trace_points)
 
@@ -151,10 +151,69 @@ def state_prefix(lines: Column, mode: str, max_lines: int, trace_points: int = 3
         head, tail = trace(x, F.slice(p, 1, k)), trace(x, F.reverse(F.slice(p, F.greatest(F.size(p) - k + 1, F.lit(1)), F.lit(k))))
         return F.filter(F.array(F.when(x["start_type"] == "cut", head), F.when(x["end_type"] == "cut", tail)), lambda y: y.isNotNull())
 
+    def tips(x: Column) -> Column:
+        p = x["points"]
+        head, tail = trace(x, F.slice(p, 1, 1)), trace(x, F.slice(p, -1, 1))
+        return F.filter(F.array(F.when(x["start_type"] == "cut", head), F.when(x["end_type"] == "cut", tail)), lambda y: y.isNotNull())
+
     if mode == "cut_only":
         found, spare = F.filter(lines, cut), 8
+    elif mode == "cut_points":
+        found, spare = F.flatten(F.transform(F.filter(lines, lambda x: F.size(x["points"]) > 0), tips)), 4
     elif mode == "cut_traces":
         found, spare = F.flatten(F.transform(F.filter(lines, lambda x: F.size(x["points"]) > 0), ends)), 4
     else:
         return F.slice(lines, 1, max_lines)
     return F.slice(F.when(F.size(found) > 0, found).otherwise(F.slice(lines, 1, spare)), 1, max_lines)
+
+
+def trace_prompt(points: Column, v: Vocabulary, n_points: int = 8, max_len: int = 384) -> Column:
+    """``<txt_trace>`` (x y angle)* ``<txt_end>`` of vertices picked evenly along a line, cut at ``max_len``.
+
+    The angle is that of the vector from the vertex before to the one after, counter-clockwise on screen. A line with
+    fewer than two points has no vertex.
+    """
+    last = F.size(points) - 1
+    k = F.least(F.lit(max(2, n_points)), F.size(points))
+    # as many whole vertices as fit before the length reaches max_len - 2
+    most = max(1, -(-(max_len - 3) // 3))
+
+    def vertex(i: Column) -> Column:
+        a, b, p = F.get(points, F.greatest(i - 1, F.lit(0))), F.get(points, F.least(i + 1, last)), F.get(points, i)
+        turn = F.pmod(F.degrees(F.atan2(-(b["y"] - a["y"]), b["x"] - a["x"])) + 360.0, F.lit(360.0))
+        return F.array(quantize(p["x"], v) + v.first_x, quantize(p["y"], v) + v.first_y, quantize_angle(turn, v) + v.first_angle)
+
+    at = lambda j: F.when(j == k - 1, last).otherwise(F.floor(j * (last.cast("double") / (k - 1)))).cast("int")
+    picked = F.slice(F.transform(F.sequence(F.lit(0), k - 1), at), 1, most)
+    whole = F.concat(F.array(F.lit(TRACE)), F.flatten(F.transform(picked, vertex)), F.array(F.lit(TEXT_END)))
+    none = F.array(F.lit(TRACE), F.lit(TEXT_END))
+    return F.when(F.coalesce(F.size(points), F.lit(0)) >= 2, F.slice(whole, 1, max_len - 1)).otherwise(none)
+
+
+def text_prompt(points: Column, mode: str, v: Vocabulary, n_points: int = 8, max_len: int = 384) -> Column:
+    """The prompt of a mode about the line that it points at (null or too short: nothing is pointed at)."""
+    if mode == "target_xy":
+        there = F.coalesce(F.size(points), F.lit(0)) >= 2
+        return F.when(there, target_prompt(F.get(points, F.lit(0)), F.element_at(points, -1), v)).otherwise(F.array(F.lit(TEXT_XY), F.lit(TEXT_END)))
+    if mode in ("trace_points", "pv_assisted_target"):
+        return trace_prompt(points, v, n_points, max_len)
+    return F.array(F.lit(TEXT_END))
+
+
+def inner_ids(ids: Column) -> Column:
+    """Ids without the begin and the end mark."""
+    return F.when(F.size(ids) > 2, F.slice(ids, F.lit(2), F.size(ids) - 2)).otherwise(F.array().cast("array<int>"))
+
+
+def state_ids(lines: Column, v: Vocabulary, mode: str, max_lines: int, max_len: int, trace_points: int = 3) -> Column:
+    """The coded prefix of a state and ``<state>``."""
+    return F.concat(inner_ids(encode(state_prefix(lines, mode, max_lines, trace_points), v, max_len)), F.array(F.lit(STATE)))
+
+
+def full_sequence(state: Column | None, prompt: Column | None, current: Column, max_len: int) -> tuple[Column, Column]:
+    """Ids of begin mark, state (``state_ids``), prompt and current sequence without its begin mark, cut at ``max_len``, and where the current part begins."""
+    none = F.array().cast("array<int>")
+    head = F.concat(F.array(F.lit(BOS)), none if state is None else state, none if prompt is None else prompt)
+    body = F.slice(current, F.lit(2), F.greatest(F.size(current) - 1, F.lit(0)))
+    whole = F.slice(F.concat(head, body), 1, max_len)
+    return whole, F.least(F.size(head), F.size(whole) - 1)

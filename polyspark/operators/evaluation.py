@@ -128,5 +128,5 @@ def evaluate(
         means = mean_ap(aps)
         if kind == "APC":
             means = means.filter("threshold IS NOT NULL")
-        out = out.unionByName(means.select(F.coalesce(name[kind], F.lit(kind)).alias("metric"), none, F.col("ap").alias("value")))
+        out = out.unionByName(means.select(F.when(F.col("threshold").isNull(), kind).otherwise(name[kind]).alias("metric"), none, F.col("ap").alias("value")))
     return out

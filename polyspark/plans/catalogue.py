@@ -21,7 +21,7 @@ SIZE = 224
 
 
 #: Modules with further queries.
-MODULES = ("evaluation", "states")
+MODULES = ("evaluation", "states", "builder", "samples")
 
 
 def _all() -> None:
