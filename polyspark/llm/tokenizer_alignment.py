@@ -100,7 +100,8 @@ class Coder:
     def encode_row(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of units that end in no white space, one behind the other as a single text; none if their bytes are not the text's."""
         whole = "".join(units)
-        a = self.a.encode(whole, add_special_tokens=False).ids
+        # without the offsets, which cost as much again
+        a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
         b = self.b.encode(whole[1:])
         raw = whole.encode()
         if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
@@ -139,6 +140,19 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _COLD = "array<struct<pair:bigint,m:bigint>>"
 
 
+class _Numbers(dict):
+    """The number of each unit; one that is asked for first gets the next and is put among the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class _Units:
     """What a task knows of units: sizes, the text of their groups, and the pairs of their links one behind the other."""
 
@@ -146,11 +160,12 @@ class _Units:
         self.coder = Coder(models)
         self.length_a = np.array([len(x) for x in self.coder.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.coder.bytes_b], np.int64)
-        self.names = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
+        # how an id is written as the first of a unit, behind the ids of A, in a new group, and behind an id of its side
+        self.names = [[f"{mark}{i}" for i in range(max(len(self.length_a), len(self.length_b)))] for mark in ("", "|", ";", ",")]
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.texts: list[str] = []
         # by unit: tokens of A and of B, groups, links, whether the bytes are right, and where its links begin
         self.sizes = np.zeros((0, 4), np.int64)
@@ -162,11 +177,12 @@ class _Units:
         """The numbers of the units of each block; new units are coded and aligned first."""
         if len(self.number) > MEMO_UNITS:
             self.reset()
-        new = {u: None for block in blocks for u in block if u not in self.number}
-        if new:
-            self._learn(list(new))
-        number = self.number
-        return [np.array([number[u] for u in block], np.int64) for block in blocks]
+        get = self.number.__getitem__
+        found = [np.fromiter(map(get, block), np.int64, len(block)) for block in blocks]
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
+        return found
 
     def _code(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """Ids of A and B one behind the other, each with its unit, and which units are right."""
@@ -199,7 +215,7 @@ class _Units:
         import duckdb
 
         (a, of_a), (b, of_b), ok = self._code(units)
-        n, base = len(units), len(self.texts)
+        n = len(units)
         with duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": f"{tempfile.gettempdir()}/duckdb-{uuid.uuid4().hex}"}) as db:
             for name, ids, which, lengths in (("a", a, of_a, self.length_a), ("b", b, of_b, self.length_b)):
                 ends = np.cumsum(lengths[ids])
@@ -214,9 +230,8 @@ class _Units:
             start = np.concatenate([[True], u[1:] != u[:-1]])
             turn = np.concatenate([[0], side[1:] - side[:-1]])
             mark = np.where(start, 0, np.where(turn > 0, 1, np.where(turn < 0, 2, 3)))
-            parts = ["" if m == 0 else "|" if m == 1 else ";" if m == 2 else "," for m in mark.tolist()]
             names = self.names
-            parts = [m + names[i] for m, i in zip(parts, ids.tolist())]
+            parts = [names[m][i] for m, i in zip(mark.tolist(), ids.tolist())]
             bounds = [*np.flatnonzero(start).tolist(), len(u)]
             for x, z in zip(bounds, bounds[1:]):
                 texts[u[x]] = "".join(parts[x:z])
@@ -226,7 +241,6 @@ class _Units:
         self.pairs = np.concatenate([self.pairs, np.asarray(links["pair"], np.int64)])
         self.sizes, self.ok = np.vstack([self.sizes, sizes]), np.concatenate([self.ok, ok])
         self.texts += texts
-        self.number.update({x: base + k for k, x in enumerate(units)})
 
     def pairs_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of the links of these units, and how often each occurs."""
