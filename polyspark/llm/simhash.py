@@ -9,8 +9,8 @@ are compared in blocks, and only a spanning forest of the links found is passed
 more than ``BLOCK`` fingerprints is compared by pairs of blocks in separate tasks.
 
 Cases: null and empty texts have fingerprint zero and link like any other. Texts shorter than a shingle are one
-shingle. Repeated rows and repeated texts share a fingerprint. A null doc_id gets a fingerprint and the component of
-its class. An empty table gives an empty result. Only the id and the text are read.
+shingle. Repeated rows and repeated texts share a fingerprint; an id that two rows share links nothing. A document without
+an id gets a fingerprint, links others and gets the smallest id of its component (null where no document in it has one). An empty table gives an empty result. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -274,17 +274,16 @@ def links(classes: DataFrame, max_distance: int, block: int = BLOCK) -> DataFram
     return probes.mapInArrow(_link(max_distance), "fp_a long, fp_b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3, verify=None) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; ``verify(edges)`` may drop links between representatives ``a, b``."""
+def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row. Fingerprints are the nodes, so links lead through documents without an id as well."""
     prints = materialize(fingerprints(docs, words), "simhash-docs")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     found = links(classes, max_distance).distinct()
-    a, b = (classes.select(F.col("fp").alias(f"fp_{x}"), F.col("rep").alias(x)) for x in "ab")
-    edges = found.join(a, "fp_a").join(b, "fp_b").select("a", "b")
-    if verify:
-        edges = verify(edges)
-    comp = connected_components(edges).withColumnsRenamed({"id": "rep", "component": "component_id"})
-    classes = classes.join(comp, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    comp = connected_components(found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))).withColumnRenamed("id", "fp")
+    linked = materialize(classes.join(comp, "fp"), "simhash-linked")
+    smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(smallest, "component").select("fp", "component_id", F.lit(True).alias("found"))
+    classes = classes.join(linked, "fp", "left").select("fp", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,7 +1,6 @@
 import re
 
 import xxhash
-from pyspark.sql import functions as F
 
 from polyspark.llm import simhash
 from tests.llm.conftest import components
@@ -32,13 +31,17 @@ def check(docs, **kw):
     assert sorted((str(r.doc_id), r.fp & (1 << 64) - 1, str(r.component_id)) for r in got) == expected
 
 
-def unique_ids(docs):
-    """An id that two rows share makes their classes one, so the plain comparison needs ids of its own."""
-    return docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+def test_against_brute_force(docs):
+    check(docs)
 
 
-def test_against_brute_force(docs):
-    check(unique_ids(docs).cache())
+def test_links_lead_through_rows_without_id(spark, monkeypatch):
+    """0 and 63 differ in six bits, 7 lies between them; nothing near 1 << 40 has an id."""
+    rows = [(1, 0), (None, 7), (2, 63), (None, 1 << 40), (None, (1 << 40) + 1), (5, -1), (3, -2)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: prints)
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(prints).collect()), key=repr)
+    assert got == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, 1 << 40, None), (None, (1 << 40) + 1, None), (5, -1, 3), (3, -2, 3)], key=repr)
 
 
 def test_hot_keys_are_split(spark, monkeypatch):
