@@ -36,12 +36,13 @@ def test_against_brute_force(docs):
 
 
 def test_links_lead_through_rows_without_id(spark, monkeypatch):
-    """0 and 63 differ in six bits, 7 lies between them; nothing near 1 << 40 has an id."""
-    rows = [(1, 0), (None, 7), (2, 63), (None, 1 << 40), (None, (1 << 40) + 1), (5, -1), (3, -2)]
+    """0 and 63 differ in six bits, 7 lies between them; nothing near ``far`` has an id."""
+    far = 0x5555555555555555
+    rows = [(1, 0), (None, 7), (2, 63), (None, far), (None, far - 1), (5, -1), (3, -2)]
     prints = spark.createDataFrame(rows, "doc_id long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: prints)
     got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(prints).collect()), key=repr)
-    assert got == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, 1 << 40, None), (None, (1 << 40) + 1, None), (5, -1, 3), (3, -2, 3)], key=repr)
+    assert got == sorted([(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, far, None), (None, far - 1, None), (5, -1, 3), (3, -2, 3)], key=repr)
 
 
 def test_hot_keys_are_split(spark, monkeypatch):
