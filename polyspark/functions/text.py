@@ -102,3 +102,16 @@ def prompt_text(template: str, prefix_lines: Column | None, fixed: dict[str, obj
     if about_types and "line_type_instruction" not in names:
         extras.append(F.lit(about_types))
     return F.concat_ws(" ", F.regexp_replace(text, "\\s+$", ""), *extras) if extras else text
+
+
+def float_list(c: Column) -> Column:
+    """The numbers of ``1,2.5, 3``; empty parts are left out."""
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.transform(parts, lambda p: p.cast("double"))
+
+
+def offset_pairs(c: Column) -> Column:
+    """``x, y`` of each pair of ``dx,dy;dx,dy``; empty parts are left out."""
+    parts = F.filter(F.transform(F.split(c, ";"), lambda p: F.trim(p)), lambda p: p != "")
+    at = lambda p, k: F.trim(F.get(F.split(p, ","), F.lit(k))).cast("int")
+    return F.transform(parts, lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y")))

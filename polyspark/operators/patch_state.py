@@ -237,3 +237,22 @@ def state_scan(patches: DataFrame, lines: DataFrame, view: View, attach: float =
     before = lines.select(F.col("token").alias("before"), "rank", F.lit(False).alias("traced"), *_LINE, "points")
     seen = seen.unionByName(lost.join(before, "before").select("token", "rank", "traced", *_LINE, "points"))
     return seen, counts, versions
+
+
+def scan_report(patches: DataFrame, lines: DataFrame, seen: DataFrame, counts: DataFrame, versions: DataFrame) -> DataFrame:
+    """A row for each patch of a scan: where its state came from, its counts, its own lines, and the lines of the map once it is merged."""
+    events = versions.select("scene", "pos", F.lit(1).alias("d")).unionByName(versions.filter("died IS NOT NULL").select("scene", F.col("died").alias("pos"), F.lit(-1).alias("d")))
+    change = events.groupBy("scene", "pos").agg(F.sum("d").alias("d"))
+    rows = patches.select("token", "scene", "pos", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("has_geometry"))
+    upto = Window.partitionBy("scene").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(change, ["scene", "pos"], "left").withColumn("num_global_lines", F.coalesce(F.sum("d").over(upto), F.lit(0))).drop("d")
+    own = lines.groupBy("token").agg(F.count("*").alias("num_lines"))
+    shown = seen.groupBy("token").agg(F.count("*").alias("shown"))
+    rows = rows.join(own, "token", "left").join(shown, "token", "left").join(counts.drop("num_state_lines"), "token", "left").fillna(0)
+    source = F.when(F.col("has_geometry"), "geometry_global_merge").otherwise("prev_prediction")
+    # a patch without a place shows the lines of the one before, which are not projected
+    projected = F.when(F.col("has_geometry"), F.col("num_projected_lines")).otherwise(F.col("shown"))
+    return rows.select(
+        "scene", "pos", "token", "has_geometry", source.alias("state_source"), "num_candidate_lines", projected.alias("num_projected_lines"), "num_endpoint_primitives",
+        F.col("shown").alias("num_state_lines"), "num_lines", "num_global_lines",
+    )

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyspark.functions.geometry import EARTH_RADIUS
+from polyspark.operators.stages import numbered
+
+#: Place of what an external list lacks.
+LAST = 10**9
 
 
 def match_tokens(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -84,3 +88,14 @@ def audit(docs: DataFrame, labels: DataFrame, key: str, text: str, group: str) -
         F.count_if(F.col("__l").isNotNull()).alias("labelled"),
         F.min(F.when(F.col("__l").isNull(), F.col(key))).alias("first_missing"),
     )
+
+
+def in_order(rows: DataFrame, order: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """``rows`` with ``place`` (from 0) in the order of an external list ``key, pos``: what the list lacks comes last, by ``key``; the first ``most`` stay.
+
+    Of a key that is listed twice the first place counts. Places come from range partitions, not from one window.
+    """
+    first = order.groupBy(key).agg(F.min("pos").alias("__pos"))
+    known = rows.join(first, key, "left").withColumn("__pos", F.coalesce(F.col("__pos").cast("long"), F.lit(LAST).cast("long")))
+    out = numbered(known, ["__pos", key], "place").drop("__pos")
+    return out if most is None else out.filter(F.col("place") < most)

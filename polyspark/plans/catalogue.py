@@ -21,7 +21,7 @@ SIZE = 224
 
 
 #: Modules with further queries.
-MODULES = ("evaluation", "states", "builder", "samples")
+MODULES = ("evaluation", "states", "builder", "samples", "runs")
 
 
 def _all() -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyspark.operators import ego_scan as ego
 from polyspark.operators import patch_state as ps
 from polyspark.operators import state
 from polyspark.operators.stages import settled
@@ -170,3 +171,38 @@ def state_scan(spark: SparkSession, d: str) -> DataFrame:
 def map_versions(spark: SparkSession, d: str) -> DataFrame:
     _, _, versions = ps.state_scan(*scan_input(spark, d), SCAN)
     return versions.select("scene", "pos", "rank", "died", *_shape())
+
+
+@query()
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    patches, lines = scan_input(spark, d)
+    patches, lines = settled(patches, "patches"), settled(lines, "lines")
+    return ps.scan_report(patches, lines, *ps.state_scan(patches, lines, SCAN))
+
+
+def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = fx.lines(spark, d).withColumn("rank", F.col("line_idx"))
+    k = F.substring("token", 7, 20).cast("long")
+    frames = lines.select("token").distinct().select("token", (k % 8).alias("scene"), k.alias("pos"), (k % 5 * 4.0).alias("x"), (k % 7 * 3.0).alias("y"), F.radians(k * 25 % 360).alias("yaw"))
+    return frames, lines.select("token", "rank", "category", "line_type", "points")
+
+
+_EGO = f"""WITH {fx.LINES}, w AS (
+  SELECT token, token[7:]::BIGINT AS k, token[7:]::BIGINT % 8 AS scene, line_idx AS rank, category, line_type, points, radians(token[7:]::BIGINT * 25 % 360) AS a FROM lines
+), world AS (SELECT scene, k AS pos, rank, category, line_type, list_transform(points, lambda p: {{'x': p.x * cos(a) - p.y * sin(a) + k % 5 * 4.0::DOUBLE, 'y': p.x * sin(a) + p.y * cos(a) + k % 7 * 3.0::DOUBLE}}) AS points FROM w
+), known AS (
+  SELECT *, [round_even(points[1].x, 0), round_even(points[1].y, 0)] AS f, [round_even(points[32].x, 0), round_even(points[32].y, 0)] AS l FROM world
+  QUALIFY row_number() OVER (PARTITION BY scene, category, line_type, least(f, l), greatest(f, l) ORDER BY pos, rank) = 1
+), frames AS (SELECT DISTINCT token, k, scene, a, k % 5 * 4.0::DOUBLE AS x, k % 7 * 3.0::DOUBLE AS y FROM w
+), loc AS (
+  SELECT f.token, n.pos, n.rank, category, line_type, list_filter(list_transform(points, lambda p: {{'x': (p.x - x) * cos(a) + (p.y - y) * sin(a), 'y': (p.y - y) * cos(a) - (p.x - x) * sin(a)}}), lambda p: abs(p.x) <= 10 AND abs(p.y) <= 10) AS q
+  FROM frames f JOIN known n ON f.scene = n.scene AND n.pos < f.k
+), px AS (SELECT *, list_transform(q, lambda p: {{'x': (p.x + 10) * (223 / 20), 'y': (10 - p.y) * (223 / 20)}}) AS points FROM loc WHERE len(q) >= 2
+), shown AS (SELECT token, row_number() OVER (PARTITION BY token ORDER BY pos, rank) AS place, category, line_type, {{0}} FROM px QUALIFY place <= 12)"""
+_TYPES = ", ".join(f"CASE WHEN points[{i}].x <= 4.48 OR points[{i}].y <= 4.48 OR points[{i}].x >= 218.52 OR points[{i}].y >= 218.52 THEN 'cut' ELSE '{k}' END AS {k}_type" for i, k in (("1", "start"), ("len(points)", "end")))
+
+
+@query(f"{_EGO.replace('{0}', _TYPES + ', points')} SELECT token, place::INT AS rank, {_SHAPE} FROM shown")
+def ego_scan(spark: SparkSession, d: str) -> DataFrame:
+    seen, _ = ego.scan(*_frames(spark, d), 224, 12, 10.0)
+    return seen.select("token", "rank", *_shape())

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyspark.functions.text import gps, token_key
+from polyspark.operators.snapshot import in_order
 
 _POINTS = "array<array<double>>"
 ANNOTATION = f"struct<image_width:int,image_height:int,source_image:string,source_split:string,city:string,lines:array<struct<category:string,line_type:string,points:{_POINTS}>>>"
@@ -64,9 +65,12 @@ def read_gps_grid(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("image", lon.alias("lon"), lat.alias("lat"))
 
 
-def read_predictions(spark: SparkSession, path: str, side: str = "pred") -> DataFrame:
-    """``sample, pred_idx, category, line_type, score, fallback, points`` of a prediction file; ``fallback``: the line has no score."""
-    rows = spark.read.schema(PREDICTIONS).json(path, multiLine=True).select(F.col("token").alias("sample"), F.posexplode(f"{side}_lines").alias(f"{side}_idx", "l"))
+def read_predictions(spark: SparkSession, path: str, side: str = "pred", by_line: bool = False) -> DataFrame:
+    """``sample, pred_idx, category, line_type, score, fallback, points`` of a prediction file; ``fallback``: the line has no score.
+
+    The file is a JSON array, or with ``by_line`` has an object a line, as ``write_predictions`` leaves it.
+    """
+    rows = spark.read.schema(PREDICTIONS).json(path, multiLine=not by_line).select(F.col("token").alias("sample"), F.posexplode(f"{side}_lines").alias(f"{side}_idx", "l"))
     score = F.coalesce("l.score", "l.line_score", "l.pseudo_score")
     return rows.select("sample", f"{side}_idx", "l.category", "l.line_type", F.coalesce(score, F.lit(1.0)).alias("score"), score.isNull().alias("fallback"), _xy(F.col("l.points")).alias("points"))
 
@@ -90,3 +94,44 @@ def append_metrics(row: DataFrame, path: str) -> None:
 def metrics_markdown(row: dict[str, float]) -> str:
     """A two-column table of one row of metrics."""
     return "\n".join(["| metric | value |", "| --- | --- |", *(f"| {k} | {v:.6g} |" for k, v in row.items())])
+
+
+def prediction_records(samples: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """``token, pred_lines, gt_lines``: each sample's lines (``sample, pred_idx`` or ``gt_idx``, a line and, for predictions, ``score``) in their order."""
+
+    def side(df: DataFrame, idx: str, name: str) -> DataFrame:
+        fields = [c for c in ("category", "line_type", "start_type", "end_type", "score") if c in df.columns]
+        one = F.struct(idx, F.struct(*fields, F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("points")).alias("l"))
+        return df.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["l"]).alias(name))
+
+    rows = samples.select("sample").distinct().join(side(pred, "pred_idx", "pred_lines"), "sample", "left").join(side(gt, "gt_idx", "gt_lines"), "sample", "left")
+    filled = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)).alias(c)
+    return rows.select(F.col("sample").alias("token"), filled("pred_lines"), filled("gt_lines"))
+
+
+def write_predictions(records: DataFrame, path: str) -> None:
+    """One JSON object a line, in as many files as there are tasks."""
+    records.write.mode("overwrite").json(path)
+
+
+def strict_objects(spark: SparkSession, path: str) -> DataFrame:
+    """``name, text`` of each key of files that hold one JSON object; a file that holds anything else is an error that names it."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", "map<string,string>").alias("v"))
+    wrong = F.raise_error(F.concat(F.lit("not a JSON object: "), "file"))
+    return rows.select(F.explode(F.when(F.col("v").isNull(), wrong.cast("map<string,string>")).otherwise(F.col("v"))).alias("name", "text"))
+
+
+def scan_annotations(spark: SparkSession, path: str, images: DataFrame, order: DataFrame | None = None, most: int | None = None, default_size: int = 4096) -> DataFrame:
+    """``read_annotations`` of the images that are there (``token``), with ``place``: by the external order ``token, pos`` where given, else by name; the first ``most`` images stay."""
+    lines = read_annotations(spark, path, default_size)
+    there = lines.select("token").distinct().join(images.select("token").distinct(), "token", "left_semi")
+    order = order if order is not None else spark.createDataFrame([], "token string, pos int")
+    return lines.join(in_order(there, order, "token", most), "token")
+
+
+def list_long_tokens(spark: SparkSession, path: str, pattern: str = "*.pkl", length: int = 36) -> DataFrame:
+    """``token, path`` of files whose names have ``length`` characters; of a token that is there twice the later path holds."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    files = files.filter(F.length(name) == length).select(F.regexp_replace(name, "\\.[^.]*$", "").alias("token"), "path")
+    return files.groupBy("token").agg(F.max("path").alias("path"))
