@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
 from polyspark.operators import metrics
+from polyspark.operators.raster import as_arrays
 from polyspark.operators.stages import settled
 
 # The thresholds of the official scores.
@@ -45,17 +46,9 @@ def chamfer_of(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.concatenate(to_b).mean() + to_a.mean()) / 2)
 
 
-def _points(column: pa.Array) -> list[np.ndarray]:
-    """The points of each list as an array of two columns."""
-    flat = column.flatten()
-    xy = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y")])
-    sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
-    return np.split(xy, np.cumsum(sizes)[:-1]) if len(sizes) else []
-
-
 def _chamfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cost = [chamfer_of(p, q) for p, q in zip(_points(b.column("p")), _points(b.column("q")))]
+        cost = [chamfer_of(p, q) for p, q in zip(as_arrays(b.column("p")), as_arrays(b.column("q")))]
         kept = [b.column(c) for c in ("sample", "category", "pred_idx", "gt_idx")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(cost, pa.float64())], ["sample", "category", "pred_idx", "gt_idx", "cost"])
 

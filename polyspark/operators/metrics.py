@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
+from polyspark.operators.raster import segment_words
 from polyspark.operators.stages import settled
 
 #: Distance that stands for a category without truth, and for no predictions.
@@ -105,55 +106,6 @@ def mask_metrics(pixels: DataFrame, image: str, threshold: float) -> DataFrame:
     return rows.select(image, ((F.col("i") + eps) / (F.col("u") + eps)).alias("iou"), ((2 * F.col("i") + eps) / (F.col("positive") + F.col("t") + eps)).alias("f1"), "positive", "mean_prob")
 
 
-def segment_words(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
-    """``keys, word, bits``: the pixels within half a ``width`` of each line of ``keys, points``, 64 pixels of an image row to a word.
-
-    A row for each segment, for each image row that it touches and each word there. What is near a segment is convex, so its pixels
-    in an image row are a run with ends in closed form. Rows of the same word are not yet united.
-    """
-    half = width / 2
-    per_row = -(-size // 64)
-    steps = F.greatest(F.size("points") - 1, F.lit(0))
-    # flat ends, generated in one place: an array kept beside them would be searched again for every use of a row
-    ends = F.arrays_zip(F.slice("points", 1, steps).alias("p"), F.slice("points", 2, steps).alias("q"))
-    flat = F.transform(ends, lambda e: F.struct(*[e[a][c].cast("double").alias(f"{a}{c}") for a in "pq" for c in "xy"]))
-    rows = lines.select(*keys, F.inline(flat))
-    lo = lambda c: F.greatest(F.lit(0), F.ceil(F.least(f"p{c}", f"q{c}") - half)).cast("int")
-    hi = lambda c: F.least(F.lit(size - 1), F.floor(F.greatest(f"p{c}", f"q{c}") + half)).cast("int")
-    rows = rows.filter((lo("x") <= hi("x")) & (lo("y") <= hi("y")))
-    rows = rows.withColumn("__y", F.explode(F.sequence(lo("y"), hi("y"))))
-    y, px, py = F.col("__y"), F.col("px"), F.col("py")
-    dx, dy = F.col("qx") - px, F.col("qy") - py
-    norm = dx * dx + dy * dy
-    slack = 1e-6
-    # the row meets the discs around both ends and the two sides; what it does not meet is null
-    disc = lambda e: F.when(F.abs(y - F.col(f"{e}y")) <= half + slack, F.sqrt(F.greatest(F.lit(0.0), half * half - (y - F.col(f"{e}y")) * (y - F.col(f"{e}y")))))
-
-    def side(sign: int):
-        along = F.try_divide(y - py - sign * F.try_divide(dx * half, F.sqrt(norm)), dy)
-        return F.when(along.between(-slack, 1 + slack), px - sign * F.try_divide(dy * half, F.sqrt(norm)) + along * dx)
-
-    bound = lambda pick, sign: pick(px + sign * disc("p"), F.col("qx") + sign * disc("q"), side(1), side(-1))
-    # generated columns are computed once: projections would be put into every use, beyond what one method can hold
-    once = lambda **c: F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    rows = rows.select(*keys, "px", "py", "qx", "qy", "__y", once(__a=bound(F.least, -1), __b=bound(F.greatest, 1))).filter("__a IS NOT NULL")
-    reach = once(__l=F.greatest(F.lit(0), F.ceil(F.col("__a") - slack)).cast("int"), __r=F.least(F.lit(size - 1), F.floor(F.col("__b") + slack)).cast("int"))
-    rows = rows.select(*keys, "px", "py", "qx", "qy", "__y", reach).filter("__l <= __r")
-
-    def near(x):
-        t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - px) * dx + (y - py) * dy) / norm))).otherwise(0.0)
-        ex, ey = px + t * dx - x, py + t * dy - y
-        return ex * ex + ey * ey <= half * half
-
-    # the distance itself decides about both ends
-    first, last = F.col("__l") + (~near(F.col("__l"))).cast("int"), F.col("__r") - (~near(F.col("__r"))).cast("int")
-    rows = rows.select(*keys, "__y", once(__l=first, __r=last)).filter("__l <= __r")
-    rows = rows.withColumn("__w", F.explode(F.sequence(F.expr("__l DIV 64"), F.expr("__r DIV 64"))))
-    first, last = F.greatest("__l", F.col("__w") * 64) % 64, F.least("__r", F.col("__w") * 64 + 63) % 64
-    bits = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (63 - last + first).cast("int")), first.cast("int"))
-    return rows.select(*keys, (F.col("__y") * per_row + F.col("__w")).alias("word"), bits.alias("bits"))
-
-
 def rasterize(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
     """``keys, word, bits``: the pixels of all lines with the same ``keys``, one row for each word with a pixel."""
     return segment_words(lines, keys, width, size).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))

@@ -241,11 +241,6 @@ def gps_bounds(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tile", _r("low").alias("low"), _r("high").alias("high"), _r("step").alias("step"))
 
 
-@_query("SELECT i::INT AS id, CASE WHEN i < 22 THEN [" + ", ".join(f"'{t}'" for t in VOCAB.named()) + f"][i + 1] WHEN i < {VOCAB.first_y} THEN '<x_' || (i - {VOCAB.first_x}) || '>' WHEN i < {VOCAB.first_angle} THEN '<y_' || (i - {VOCAB.first_y}) || '>' ELSE '<a_' || (i - {VOCAB.first_angle}) || '>' END AS token FROM range({VOCAB.n}) t(i)")
-def vocab_table(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.table(spark, VOCAB)
-
-
 @_query(f"""WITH {fx.LINES} SELECT vec_id, least(greatest(round_even((points[1].x + 30) * {_K!r}::DOUBLE, 0), 0), 223)::INT AS qx,
   least(greatest(round_even((30 - points[1].y) * {_K!r}::DOUBLE, 0), 0), 223)::INT AS qy FROM lines""")
 def quantize_coords(spark: SparkSession, d: str) -> DataFrame:
@@ -304,12 +299,32 @@ def state_prefix_modes(spark: SparkSession, d: str) -> DataFrame:
     return per.select("token", count("all", "every"), count("cut_only", "cut_only"), count("cut_traces", "cut_traces"))
 
 
-@_query("""WITH s AS (SELECT *, regexp_extract(token, '^<([a-z]+)_.*>$', 1) AS kind, replace(regexp_extract(token, '^<[a-z]+_(.*)>$', 1), '_', ' ') AS rest FROM (""" + _SQL["vocab_table"] + """))
-SELECT id, token, CASE token WHEN '<bos>' THEN 'begin map' WHEN '<eos>' THEN 'end map' WHEN '<state>' THEN 'previous map state' WHEN '<txt_xy>' THEN 'xy coordinates' WHEN '<txt_trace>' THEN 'trace points'
+_NAMED = (
+    "SELECT i::INT AS id, CASE WHEN i < 22 THEN [" + ", ".join(f"'{t}'" for t in VOCAB.named()) + f"][i + 1] WHEN i < {VOCAB.first_y} THEN '<x_' || (i - {VOCAB.first_x}) || '>' "
+    f"WHEN i < {VOCAB.first_angle} THEN '<y_' || (i - {VOCAB.first_y}) || '>' ELSE '<a_' || (i - {VOCAB.first_angle}) || '>' END AS token FROM range({VOCAB.n}) t(i)"
+)
+_USED = f"{_IDS}, used AS (SELECT unnest(ids) AS id, token AS patch FROM ids), named AS ({_NAMED})"
+
+
+def _used(spark: SparkSession, d: str) -> DataFrame:
+    """``id, n``: how often each id occurs in the coded patches."""
+    return _encoded(spark, d).select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@_query(f"{_USED} SELECT id, named.token, count(patch) AS n FROM named LEFT JOIN used USING (id) GROUP BY ALL")
+def vocab_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole vocabulary with the uses of each token."""
+    return tokens.table(spark, VOCAB).join(_used(spark, d), "id", "left").select("id", "token", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@_query(f"""{_USED}, s AS (SELECT id, named.token, count(*) AS n, regexp_extract(named.token, '^<([a-z]+)_.*>$', 1) AS kind, replace(regexp_extract(named.token, '^<[a-z]+_(.*)>$', 1), '_', ' ') AS rest FROM named JOIN used USING (id) GROUP BY ALL)
+SELECT id, token, n, CASE token WHEN '<bos>' THEN 'begin map' WHEN '<eos>' THEN 'end map' WHEN '<state>' THEN 'previous map state' WHEN '<txt_xy>' THEN 'xy coordinates' WHEN '<txt_trace>' THEN 'trace points'
   WHEN '<txt_end>' THEN 'end text' WHEN '<line>' THEN 'polyline' WHEN '<pts>' THEN 'points' WHEN '<eol>' THEN 'end of polyline'
   ELSE CASE kind WHEN 's' THEN 'start ' WHEN 'e' THEN 'end ' WHEN 'x' THEN 'x coordinate ' WHEN 'y' THEN 'y coordinate ' WHEN 'a' THEN 'angle ' ELSE '' END || rest END AS phrase FROM s""")
 def semantic_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.table(spark, VOCAB).withColumn("phrase", text.phrase(F.col("token")))
+    """The phrase of every token that a patch uses."""
+    rows = _used(spark, d).join(tokens.table(spark, VOCAB), "id")
+    return rows.select("id", "token", "n", text.phrase(F.col("token")).alias("phrase"))
 
 
 _COST = f"""WITH {fx.SIDES}, pairs AS (SELECT p.sample, p.category, pred_idx, gt_idx, p.points AS p, g.points AS q FROM pred p JOIN gt g USING (sample, category)), cost AS (
