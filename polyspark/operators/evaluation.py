@@ -59,7 +59,12 @@ def chamfer_costs(pred: DataFrame, gt: DataFrame, metres: float = METRES_PER_PIX
     Lines are densified once each, before the pairs of a sample and category are joined; distances are taken in blocks.
     """
     k = F.lit(float(metres))
-    dense = lambda df, idx, name: df.select("sample", "category", idx, g.densify(g.scale(F.col("points"), k, k), step).alias(name))
+
+    def dense(df: DataFrame, idx: str, name: str) -> DataFrame:
+        # a generator of one row: cutting looks at every vertex twice, which would scale all of them each time
+        rows = df.select("sample", "category", idx, F.inline(F.array(F.struct(g.scale(F.col("points"), k, k).alias("scaled")))))
+        return rows.select("sample", "category", idx, g.densify(F.col("scaled"), step).alias(name))
+
     pairs = dense(pred, "pred_idx", "p").join(dense(gt, "gt_idx", "q"), ["sample", "category"])
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
     out = ", ".join(f"{c} {kind[c]}" for c in ("sample", "category", "pred_idx", "gt_idx"))
