@@ -224,7 +224,7 @@ def segments(docs: DataFrame, shared, bits: int = FILTER_BITS) -> DataFrame:
                 ["doc_id", "th", "at", "n_win", "h", "sd", "words"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, th int, at int, n_win int, h long, sd long, words binary")
+    return docs.mapInArrow(run, "doc_id long, th long, at int, n_win int, h long, sd long, words binary")
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,8 @@ def repeated(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
         mask = mask.unionByName(_hot_windows(rows.filter(F.col("kinds") > hot_segments)))
     mask = materialize(mask.filter("mask <> 0"), "substring-masks")
     hits = found.select("doc_id", "th", "at", "h", "sd").join(mask, ["h", "sd"])
-    return hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
+    # equal rows bring the same segments: a set, united before the shuffle, has each once, however many rows there are
+    return hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
 
 
 def _keep(text: str | None, found: list[dict] | None) -> tuple[int, int, bytes]:
@@ -314,7 +315,7 @@ def _keep(text: str | None, found: list[dict] | None) -> tuple[int, int, bytes]:
 
 def remove_repeats(docs: DataFrame, digest: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for every row; with ``digest`` the SHA-256 of the kept text instead."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash(F.xxhash64("text")).alias("th"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     found = repeated(docs, hot_segments).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
     rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").select("doc_id", "text", "found")
     last = "kept_sha256" if digest else "kept_text"

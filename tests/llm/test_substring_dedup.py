@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from polyspark.llm import substring_dedup as s
 from polyspark.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
@@ -95,3 +96,15 @@ def test_blocks_have_each_window_once(monkeypatch, texts):
     for t in [*texts, "word " * 700]:
         want.update((t, k) for k in range(len((t or "").encode().split()) - s.WINDOW + 1))
     assert seen == want
+
+
+def test_equal_rows_bring_their_segments_once(spark):
+    """5000 equal rows and as many without an id: each row meets the segments of one text, not those of all its copies."""
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.range(10_000).select(F.when(F.col("id") < 5000, F.lit(7)).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    other = spark.createDataFrame([(None, " ".join(f"v{k}" for k in range(100)))], "doc_id long, text string")
+    docs = docs.unionByName(other).repartition(4)
+    found = s.repeated(docs.select("doc_id", "text", F.xxhash64("text").alias("th"))).select(F.size("found").alias("n")).collect()
+    assert len(found) == 2 and all(r.n < 20 for r in found)
+    rows = s.remove_repeats(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted((r.n_words, r.n_removed, r["count"]) for r in rows) == [(100, 0, 1), (200, 200, 10_000)]
