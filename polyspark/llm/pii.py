@@ -238,9 +238,11 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     their order or partitions.
     """
     spark = docs.sparkSession
-    share = int(min(1.0, TRAIN_DOCS / max(1, docs.count())) * 1_000_000)
+    # in parts of 10 ** 18, so that the share of a table of any size is above zero
+    share = int(min(1.0, TRAIN_DOCS / max(1, docs.count())) * 10**18)
     place = F.xxhash64("doc_id", "text", F.lit(len(LABELS)))
-    sample = docs.filter(F.pmod(place, F.lit(1_000_000)) < share).select(place.alias("place"), "text")
+    part = F.pmod(place, F.lit(10**6)) * F.lit(10**12) + F.pmod(F.shiftright(place, 20), F.lit(10**12))
+    sample = docs.filter(part < share).select(place.alias("place"), "text")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
