@@ -115,3 +115,14 @@ def offset_pairs(c: Column) -> Column:
     parts = F.filter(F.transform(F.split(c, ";"), lambda p: F.trim(p)), lambda p: p != "")
     at = lambda p, k: F.trim(F.get(F.split(p, ","), F.lit(k))).cast("int")
     return F.transform(parts, lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y")))
+
+
+def relative_path(c: Column, prefix: str = "./data/nuscenes/") -> Column:
+    """A path without the prefix that it may begin with."""
+    return F.when(F.startswith(c, F.lit(prefix)), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
+
+
+def cosine_rate(step: Column, total: int, base: float, warmup: int) -> Column:
+    """The learning rate of a step: up in a line for ``warmup`` steps, then down along half a cosine."""
+    done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / F.lit(float(max(1, total - warmup)))))
+    return F.when(step < warmup, base * (step + 1) / F.lit(float(max(1, warmup)))).otherwise(base * 0.5 * (1.0 + F.cos(F.pi() * done)))

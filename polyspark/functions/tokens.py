@@ -217,3 +217,23 @@ def full_sequence(state: Column | None, prompt: Column | None, current: Column,
     body = F.slice(current, F.lit(2), F.greatest(F.size(current) - 1, F.lit(0)))
     whole = F.slice(F.concat(head, body), 1, max_len)
     return whole, F.least(F.size(head), F.size(whole) - 1)
+
+
+def extended(base: DataFrame, v: Vocabulary) -> DataFrame:
+    """``id, token, base_id``: the place of every token of ``v`` in a vocabulary ``token, id`` that is extended by those it lacks, in their order.
+
+    Both are vocabularies: the window that numbers the new tokens holds no more than ``v`` has.
+    """
+    size = base.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("__size"))
+    rows = table(base.sparkSession, v).join(base.select("token", F.col("id").alias("base_id")), "token", "left").crossJoin(F.broadcast(size))
+    new = F.row_number().over(Window.partitionBy(F.col("base_id").isNull()).orderBy("id")) - 1
+    return rows.withColumn("base_id", F.coalesce(F.col("base_id"), F.col("__size") + new).cast("int")).select("id", "token", "base_id")
+
+
+def remap(rows: DataFrame, places: DataFrame, ids: str = "ids", back: bool = False) -> DataFrame:
+    """``rows`` with ids of ``v`` as ids of the extended vocabulary (``extended``), or ``back``, where what is no token of ``v`` is left out."""
+    one = places.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "base_id"))), lambda r: r["base_id"]).alias("__places"))
+    rows = rows.crossJoin(F.broadcast(one))
+    there = F.transform(ids, lambda i: F.get("__places", i))
+    again = F.filter(F.transform(ids, lambda i: (F.array_position(F.col("__places"), i) - 1).cast("int")), lambda i: i >= 0)
+    return rows.withColumn(ids, again if back else there).drop("__places")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
+from polyspark.functions import text
 from polyspark.operators.raster import segment_words
 from polyspark.operators.stages import settled
 
@@ -106,7 +107,7 @@ def mask_metrics(pixels: DataFrame, image: str, threshold: float) -> DataFrame:
     return rows.select(image, ((F.col("i") + eps) / (F.col("u") + eps)).alias("iou"), ((2 * F.col("i") + eps) / (F.col("positive") + F.col("t") + eps)).alias("f1"), "positive", "mean_prob")
 
 
-def rasterize(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
+def rasterize(lines: DataFrame, keys: list[str], width: float | Column, size: int) -> DataFrame:
     """``keys, word, bits``: the pixels of all lines with the same ``keys``, one row for each word with a pixel."""
     return segment_words(lines, keys, width, size).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
 
@@ -147,3 +148,27 @@ def continuity(lines: DataFrame, radius: float) -> DataFrame:
     hit = probes.join(ends, ["sample", "cx", "cy"]).filter((F.col("l") != F.col("line")) & (g.distance(F.col("e"), F.col("o")) <= radius))
     hit = hit.select("sample", F.col("l").alias("line"), F.col("s").alias("side")).distinct().withColumn("hit", F.lit(1))
     return ends.join(hit, ["sample", "line", "side"], "left").groupBy("sample").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("score"))
+
+
+def lane_masks(lines: DataFrame, size: int, width: float, positive: tuple[str, ...]) -> DataFrame:
+    """``image, word, bits``: the mask of each image's lines of the ``positive`` categories (``image, category, points, image_width, image_height``).
+
+    Points are scaled from source pixels to ``size``, and the stroke with them, to whole pixels and one at least. Missing sizes are ``size``.
+    """
+    source = lambda c: F.coalesce(F.col(c), F.lit(size))
+    ratio = lambda c: F.lit(float(max(1, size - 1))) / F.greatest(F.lit(1), source(c) - 1)
+    rows = lines.filter(text.category(F.col("category")).isin(*positive) & (F.size("points") >= 2))
+    stroke = F.greatest(F.lit(1.0), F.rint(F.lit(width * size) / F.greatest(F.lit(1), source("image_width"))))
+    points = g.scale(F.col("points"), ratio("image_width"), ratio("image_height"))
+    return rasterize(rows.select("image", points.alias("points"), stroke.alias("stroke")), ["image"], F.col("stroke"), size)
+
+
+def mask_scores(pred: DataFrame, gt: DataFrame, image: str = "image") -> DataFrame:
+    """``image, iou, f1, positive`` of masks as words, for every image with a pixel on either side."""
+    none, eps = F.lit(0).cast("long"), 1e-6
+    both = pred.select(image, "word", F.col("bits").alias("p"), none.alias("t")).unionByName(gt.select(image, "word", none.alias("p"), F.col("bits").alias("t")))
+    both = both.groupBy(image, "word").agg(F.bit_or("p").alias("p"), F.bit_or("t").alias("t"))
+    count = lambda c, name: F.sum(F.bit_count(c)).alias(name)
+    p, t = F.col("p"), F.col("t")
+    rows = both.groupBy(image).agg(count(p.bitwiseAND(t), "i"), count(p.bitwiseOR(t), "u"), count(p, "positive"), count(t, "true"))
+    return rows.select(image, ((F.col("i") + eps) / (F.col("u") + eps)).alias("iou"), ((2 * F.col("i") + eps) / (F.col("positive") + F.col("true") + eps)).alias("f1"), "positive")

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 WORD = 64
 SLACK = 1e-6
@@ -18,14 +19,14 @@ SLACK = 1e-6
 ROWS = 400_000
 
 
-def _runs(p: np.ndarray, q: np.ndarray, half: float, size: int) -> tuple[np.ndarray, ...]:
+def _runs(p: np.ndarray, q: np.ndarray, half: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """``segment, y, left, right`` of the runs of pixels of segments from ``p`` to ``q``."""
     low = np.maximum(0, np.ceil(np.minimum(p[:, 1], q[:, 1]) - half)).astype(np.int64)
     high = np.minimum(size - 1, np.floor(np.maximum(p[:, 1], q[:, 1]) + half)).astype(np.int64)
     n = np.maximum(0, high - low + 1)
     which = np.repeat(np.arange(len(p)), n)
     y = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
-    (px, py), (qx, qy) = p[which].T, q[which].T
+    (px, py), (qx, qy), half = p[which].T, q[which].T, half[which]
     dx, dy = qx - px, qy - py
     norm = dx * dx + dy * dy
     ends = []
@@ -65,8 +66,8 @@ def _words(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return which, word, (full >> (np.uint64(63) - last + first)) << first
 
 
-def line_words(points: list[np.ndarray], half: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``line, word, bits`` of every word with a pixel, each once; word ``k`` of image row ``y`` is ``y * ceil(size / 64) + k``."""
+def line_words(points: list[np.ndarray], half: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line, word, bits`` of every word with a pixel, each once, ``half`` the reach of each line; word ``k`` of image row ``y`` is ``y * ceil(size / 64) + k``."""
     per_row = -(-size // WORD)
     keep = [k for k, x in enumerate(points) if len(x) > 1]
     if not keep:
@@ -75,7 +76,7 @@ def line_words(points: list[np.ndarray], half: float, size: int) -> tuple[np.nda
     line = np.repeat(np.array(keep), [len(points[k]) - 1 for k in keep])
     finite = np.isfinite(p).all(axis=1) & np.isfinite(q).all(axis=1)
     p, q, line = p[finite], q[finite], line[finite]
-    which, y, left, right = _runs(p, q, half, size)
+    which, y, left, right = _runs(p, q, half[line], size)
     run, word, bits = _words(left, right)
     key = line[which[run]] * (per_row * size) + y[run] * per_row + word
     order = np.argsort(key, kind="stable")
@@ -93,17 +94,17 @@ def as_arrays(column: pa.Array) -> list[np.ndarray]:
     return np.split(xy, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def _map(keys: list[str], half: float, size: int):
+def _map(keys: list[str], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            points = as_arrays(b.column("points"))
+            points, half = as_arrays(b.column("points")), b.column("__width").to_numpy() / 2
             # image rows that a line's segments may touch, to bound what is held
-            cost = np.cumsum([min(len(x) * size, 1 + int(np.abs(np.diff(np.nan_to_num(x[:, 1]), axis=0)).sum() + len(x) * (2 * half + 2))) for x in points])
+            cost = np.cumsum([min(len(x) * size, 1 + int(np.abs(np.diff(np.nan_to_num(x[:, 1]), axis=0)).sum() + len(x) * (2 * h + 2))) for x, h in zip(points, half)])
             start = 0
             while start < len(points):
                 base = cost[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(cost, base + ROWS)))
-                line, word, bits = line_words(points[start:stop], half, size)
+                line, word, bits = line_words(points[start:stop], half[start:stop], size)
                 which = pa.array(line + start)
                 yield pa.RecordBatch.from_arrays([*(b.column(k).take(which) for k in keys), pa.array(word.astype(np.int32)), pa.array(bits)], [*keys, "word", "bits"])
                 start = stop
@@ -111,8 +112,9 @@ def _map(keys: list[str], half: float, size: int):
     return run
 
 
-def segment_words(lines: DataFrame, keys: list[str], width: float, size: int) -> DataFrame:
-    """``keys, word, bits``: the pixels within half a ``width`` of each line of ``keys, points``; words of one line are united."""
+def segment_words(lines: DataFrame, keys: list[str], width: float | Column, size: int) -> DataFrame:
+    """``keys, word, bits``: the pixels within half a ``width`` (a number or a column) of each line of ``keys, points``; words of one line are united."""
     kind = {f.name: f.dataType.simpleString() for f in lines.select(*keys).schema}
     out = ", ".join(f"`{k}` {kind[k]}" for k in keys)
-    return lines.select(*keys, "points").mapInArrow(_map(keys, width / 2, size), f"{out}, word int, bits long")
+    reach = width if isinstance(width, Column) else F.lit(float(width))
+    return lines.select(*keys, "points", reach.cast("double").alias("__width")).mapInArrow(_map(keys, size), f"{out}, word int, bits long")

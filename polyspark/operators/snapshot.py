@@ -99,3 +99,15 @@ def in_order(rows: DataFrame, order: DataFrame, key: str, most: int | None = Non
     known = rows.join(first, key, "left").withColumn("__pos", F.coalesce(F.col("__pos").cast("long"), F.lit(LAST).cast("long")))
     out = numbered(known, ["__pos", key], "place").drop("__pos")
     return out if most is None else out.filter(F.col("place") < most)
+
+
+def window_of(frames: DataFrame, length: int, empty: str = "") -> DataFrame:
+    """``token, window``: the last ``length`` frames up to each one, oldest first, filled with ``empty`` in front where the chain is short.
+
+    A frame that the table lacks ends the chain.
+    """
+    known = frames.select(F.col("token").alias("prev"), F.lit(True).alias("__known")).distinct()
+    linked = frames.join(known, "prev", "left").select("token", F.when(F.col("__known"), F.col("prev")).alias("prev"))
+    rows = chain(linked, length - 1)
+    past = F.filter(F.array(*[F.col(f"h{k}") for k in range(length - 1, 0, -1)], F.col("token")), lambda t: t.isNotNull())
+    return rows.select("token", F.concat(F.array_repeat(F.lit(empty).cast(frames.schema["token"].dataType), F.lit(length) - F.size(past)), past).alias("window"))

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyspark.functions import text
-from polyspark.operators import cache, comparison, readiness, snapshot
+from polyspark.functions import text, tokens
+from polyspark.operators import cache, comparison, metrics, readiness, snapshot
 from polyspark.operators import lines as ops
 from polyspark.operators.stages import shared_folder
 from polyspark.plans import fixtures as fx
-from polyspark.plans.catalogue import _FOLD, _SERIAL
+from polyspark.plans.catalogue import _FOLD, _FRAMES, _IDS, _NAMED, _SERIAL, VOCAB, _encoded
 from polyspark.plans.registry import query
 
 LEVELS = (10.0, 15.0, 20.0)
@@ -90,3 +90,61 @@ def parsed_lists(spark: SparkSession, d: str) -> DataFrame:
     total = F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x)
     sum_x = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["x"])
     return o.select("o_orderkey", total.alias("total"), F.size(pairs).alias("pairs"), sum_x.alias("sum_x"))
+
+
+@query(f"""WITH {_FRAMES}, c AS (SELECT f.token, a.token AS h1, b.token AS h2 FROM frames f LEFT JOIN frames a ON f.prev = a.token LEFT JOIN frames b ON a.prev = b.token)
+SELECT token, array_to_string(list_concat(CASE WHEN h1 IS NULL THEN ['', ''] WHEN h2 IS NULL THEN [''] ELSE [] END, list_filter([h2::VARCHAR, h1::VARCHAR, token::VARCHAR], lambda x: x IS NOT NULL)), '>') AS frames FROM c""")
+def temporal_window(spark: SparkSession, d: str) -> DataFrame:
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    frames = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("token"), F.lag("o_orderkey").over(by).cast("string").alias("prev"))
+    return snapshot.window_of(frames, 3).select(F.col("token").cast("long").alias("token"), F.array_join("window", ">").alias("frames"))
+
+
+_MASK_PIXELS = f"""WITH {fx.LINES}, src AS (
+  SELECT vec_id // 10 AS image, vec_id % 2 AS side, CASE vec_id // 10 % 3 WHEN 0 THEN 96 WHEN 1 THEN 300 ELSE 64 END AS w, points FROM lines WHERE category <> 'Curb'
+), px AS (
+  SELECT image, side, greatest(1, round_even(4.0::DOUBLE * 64 / w, 0)) AS stroke, list_transform(points, lambda p: {{'x': (p.x + 30) * (63.0::DOUBLE / (w - 1)), 'y': (30 - p.y) * (63.0::DOUBLE / (w - 1))}}) AS points FROM src
+), sg AS (SELECT image, side, stroke, points[i] AS p, points[i + 1] AS q FROM px, range(1, 32) t(i)), hit AS (
+  SELECT DISTINCT image, side, y * 64 + x AS px FROM sg, range(0, 64) a(x), range(0, 64) b(y)
+  WHERE x BETWEEN least(p.x, q.x) - stroke / 2 AND greatest(p.x, q.x) + stroke / 2 AND y BETWEEN least(p.y, q.y) - stroke / 2 AND greatest(p.y, q.y) + stroke / 2
+    AND (p.x + greatest(0, least(1, ((x - p.x) * (q.x - p.x) + (y - p.y) * (q.y - p.y)) / ((q.x - p.x) ** 2 + (q.y - p.y) ** 2))) * (q.x - p.x) - x) ** 2
+      + (p.y + greatest(0, least(1, ((x - p.x) * (q.x - p.x) + (y - p.y) * (q.y - p.y)) / ((q.x - p.x) ** 2 + (q.y - p.y) ** 2))) * (q.y - p.y) - y) ** 2 <= stroke * stroke / 4
+)"""
+
+
+@query(f"""{_MASK_PIXELS}, b AS (SELECT image, px, bool_or(side = 1) AS p, bool_or(side = 0) AS t FROM hit GROUP BY ALL)
+SELECT image, round((count(*) FILTER (WHERE p AND t) + 1e-6) / (count(*) + 1e-6), 6) AS iou, round((2 * count(*) FILTER (WHERE p AND t) + 1e-6) / (count(*) FILTER (WHERE p) + count(*) FILTER (WHERE t) + 1e-6), 6) AS f1,
+  count(*) FILTER (WHERE p) AS positive FROM b GROUP BY image""")
+def lane_masks(spark: SparkSession, d: str) -> DataFrame:
+    image = F.expr("vec_id DIV 10")
+    width = F.when(image % 3 == 0, 96).when(image % 3 == 1, 300).otherwise(F.lit(None))
+    points = F.transform("points", lambda p: F.struct((p["x"] + 30).alias("x"), (30 - p["y"]).alias("y")))
+    rows = fx.lines(spark, d).select("vec_id", image.alias("image"), "category", points.alias("points"), width.alias("image_width"), width.alias("image_height"))
+    side = lambda k: metrics.lane_masks(rows.filter(F.col("vec_id") % 2 == k), 64, 4.0, ("lane_line", "virtual_line"))
+    out = metrics.mask_scores(side(1), side(0))
+    return out.select("image", F.round("iou", 6).alias("iou"), F.round("f1", 6).alias("f1"), "positive")
+
+
+@query(f"""{_IDS}, named AS ({_NAMED}), base AS (SELECT n_name AS token, n_nationkey::INT AS id FROM nation UNION ALL SELECT '<x_' || r_regionkey || '>', 25 + r_regionkey::INT FROM region
+), size AS (SELECT max(id) + 1 AS n FROM base), places AS (SELECT v.id, coalesce(b.id, n + row_number() OVER (PARTITION BY b.id IS NULL ORDER BY v.id) - 1)::INT AS base_id FROM named v LEFT JOIN base b USING (token), size
+), u AS (SELECT token, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM ids)
+SELECT u.token, array_to_string(list(p.base_id ORDER BY k), ' ') AS ids, true AS back FROM u JOIN places p USING (id) GROUP BY u.token""")
+def extended_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Coded patches as ids of a vocabulary of names that is extended by the map's tokens, and whether they come back."""
+    x = F.concat(F.lit("<x_"), F.col("r_regionkey"), F.lit(">"))
+    base = fx.table(spark, d, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("int").alias("id"))
+    base = base.unionByName(fx.table(spark, d, "region").select(x.alias("token"), (F.col("r_regionkey") + 25).cast("int").alias("id")))
+    places = tokens.extended(base, VOCAB)
+    there = tokens.remap(_encoded(spark, d), places).withColumns({"own": F.col("ids"), "ids": F.concat(F.array(F.lit(3)), "ids")})
+    back = tokens.remap(there, places, back=True).withColumnRenamed("ids", "again")
+    rows = tokens.remap(back, places, "again")
+    return rows.select("token", F.array_join(F.transform("own", lambda i: i.cast("string")), " ").alias("ids"), (F.col("again") == F.col("own")).alias("back"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 200 < 20 THEN round(0.1 * (event_id % 200 + 1) / 20, 9) ELSE round(0.05 * (1 + cos(pi() * least(1, (event_id % 200 - 20) / 130))), 9) END AS rate,
+  CASE WHEN event_id % 3 = 0 THEN '' ELSE './data/' END || 'cam/' || event_id AS path FROM events""")
+def schedule_and_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.table(spark, d, "events")
+    raw = F.concat(F.when(F.col("event_id") % 3 == 0, "./data/nuscenes/cam/").otherwise("./data/cam/"), F.col("event_id"))
+    rate = text.cosine_rate(F.col("event_id") % 200, 150, 0.1, 20)
+    return e.select("event_id", F.round(rate, 9).alias("rate"), text.relative_path(raw).alias("path"))
