@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from polyspark.functions import geometry as g
 from polyspark.functions import text, tokens
 from polyspark.operators import lines as ops
-from polyspark.operators import metrics, snapshot, state
+from polyspark.operators import metrics, snapshot, state, training
 from polyspark.plans import fixtures as fx
 from polyspark.plans import registry
 from polyspark.plans.registry import SQL as _SQL
@@ -86,6 +86,24 @@ def serialize_lines(spark: SparkSession, d: str) -> DataFrame:
     return _serialized(spark, d).select("token", "rank", "category", "line_type", "start_type", "end_type", F.size("points").alias("n_points"), *_first_last())
 
 
+_PIXEL_LINES = f"""WITH {fx.LINES}, source AS (
+  SELECT * REPLACE (list_transform(points, lambda p: {{'x': (p.x + 30.0::DOUBLE) * 10 * (223.0::DOUBLE / 599), 'y': (30.0::DOUBLE - p.y) * 10 * (223.0::DOUBLE / 599)}}) AS points) FROM lines
+), {_SAMPLED.replace('FROM lines', 'FROM source').replace('6.0::DOUBLE', '40.0::DOUBLE')}, {_NORM.format('sampled')}, ser AS (
+  SELECT token, row_number() OVER (PARTITION BY token ORDER BY sqrt(points[1].x ** 2 + points[1].y ** 2), line_idx) AS rank, cat AS category, lt AS line_type,
+         CASE WHEN {_BORDER.format('points[1]')} THEN 'cut' ELSE 'start' END AS start_type, CASE WHEN {_BORDER.format('points[len(points)]')} THEN 'cut' ELSE 'end' END AS end_type, points
+  FROM typed WHERE len(points) >= 2 QUALIFY rank <= 48
+)"""
+
+
+@_query(f"{_PIXEL_LINES} SELECT token, rank::INT AS rank, category, line_type, start_type, end_type, len(points)::INT AS n_points, {_FL} FROM ser")
+def serialize_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in pixels of a source image of 600, rescaled and then resampled every 40 pixels."""
+    points = F.transform("points", lambda p: g.point((p["x"] + 30.0) * 10, (30.0 - p["y"]) * 10))
+    rows = fx.lines(spark, d).withColumns({"points": points, "image_width": F.lit(600), "image_height": F.lit(600)})
+    out = ops.serialize_pixels(rows, SIZE)
+    return out.select("token", "rank", "category", "line_type", "start_type", "end_type", F.size("points").alias("n_points"), *_first_last())
+
+
 @_query(f"WITH {fx.LINES}, {_NORM.format('lines')} SELECT vec_id, cat AS category, lt AS line_type, CASE WHEN lt IN ('solid', 'dashed', '') THEN lt ELSE '' END AS known FROM typed")
 def normalize_vocab(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("line_type")
@@ -478,17 +496,24 @@ def merge_global_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted_loss, round(count(*) FILTER (WHERE l_linestatus = 'O') / count(*), 6) AS token_accuracy FROM lineitem GROUP BY l_returnflag""")
 def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
-    li = fx.table(spark, d, "lineitem")
-    loss = F.sum(F.col("l_extendedprice") * F.col("l_quantity")) / F.sum("l_quantity")
-    return li.groupBy("l_returnflag").agg(_r(loss, 4).alias("weighted_loss"), _r(F.count_if(F.col("l_linestatus") == "O") / F.count("*")).alias("token_accuracy"))
+    out = training.weighted_loss(fx.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity", F.col("l_linestatus") == "O")
+    return out.select("l_returnflag", _r("weighted_loss", 4).alias("weighted_loss"), _r("token_accuracy").alias("token_accuracy"))
 
 
 @_query("""WITH h AS (SELECT event_id, md5('7:' || event_id::VARCHAR) AS m FROM events) SELECT event_id, m[1] >= '4' AS image, m[1] < '4' OR m[2] >= '4' AS text FROM h""")
 def modality_mask(spark: SparkSession, d: str) -> DataFrame:
     """Each modality stays by a seeded hash of the row; where the first goes the second stays."""
-    m = F.md5(F.concat(F.lit("7:"), F.col("event_id").cast("string")).cast("binary"))
-    image = F.substring(m, 1, 1) >= "4"
-    return fx.table(spark, d, "events").select("event_id", image.alias("image"), (~image | (F.substring(m, 2, 1) >= "4")).alias("text"))
+    image, words = training.modality_mask(F.col("event_id"), 7, 0.25, 0.25)
+    return fx.table(spark, d, "events").select("event_id", image.alias("image"), words.alias("text"))
+
+
+@_query("""WITH h AS (SELECT event_id % 5 AS epoch, value, md5('7:' || event_id::VARCHAR) AS m FROM events)
+SELECT epoch, count(*) AS steps, round(avg(value), 6) AS value, round(count(*) FILTER (WHERE m[1] < '4') / count(*), 6) AS image_dropped_ratio FROM h GROUP BY epoch""")
+def epoch_report(spark: SparkSession, d: str) -> DataFrame:
+    image, _ = training.modality_mask(F.col("event_id"), 7, 0.25, 0.25)
+    rows = fx.table(spark, d, "events").select((F.col("event_id") % 5).alias("epoch"), "value", (~image).alias("image_dropped"))
+    out = training.epoch_report(rows, "epoch", ["value"], ["image_dropped"])
+    return out.select("epoch", "steps", _r("value").alias("value"), _r("image_dropped_ratio").alias("image_dropped_ratio"))
 
 
 @_query("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
