@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyspark.llm.common import free_prefix
+
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 UPPER = "[A-ZÀ-ÖØ-Þ]"
@@ -95,30 +97,31 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, text: str = "te
     )
     worded = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
     lines = F.split(t, "\n")
-    out = docs.withColumns({"__words": words, "__all": lines, "__lines": F.filter(lines, worded)})
+    helper = {name: free_prefix(docs) + name for name in ("words", "all", "lines", "hashes", "judged")}
+    out = docs.withColumns({helper["words"]: words, helper["all"]: lines, helper["lines"]: F.filter(lines, worded)})
     out = out.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
+            "n_words": F.size(helper["words"]).cast("long"),
             "word_chars": (F.length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__hashes": pair(F.col("__words")),
-            "__judged": F.transform(
-                "__all",
+            "n_dup_lines": (F.size(helper["lines"]) - F.size(F.array_distinct(helper["lines"]))).cast("long"),
+            helper["hashes"]: pair(F.col(helper["words"])),
+            helper["judged"]: F.transform(
+                helper["all"],
                 lambda x: _let(F.size(words_of(x)), lambda n: F.struct(x.alias("line"), line_fault(x, n, p).alias("fault"), n.alias("n"))),
             ),
         }
-    ).drop("__words", "__all")
-    bad = F.filter("__judged", lambda x: x["fault"].isNotNull())
+    ).drop(helper["words"], helper["all"])
+    bad = F.filter(helper["judged"], lambda x: x["fault"].isNotNull())
     out = out.withColumns(
         {
-            "n_repeat_words": _repeat_words(F.col("__hashes")),
-            "n_lines": F.size("__lines").cast("long"),
+            "n_repeat_words": _repeat_words(F.col(helper["hashes"])),
+            "n_lines": F.size(helper["lines"]).cast("long"),
             "n_bad_lines": F.size(bad).cast("long"),
             "n_lost_words": F.aggregate(bad, F.lit(0).cast("long"), lambda s, x: s + x["n"]),
-            "clean_text": F.concat_ws("\n", F.transform(F.filter("__judged", lambda x: x["fault"].isNull()), lambda x: x["line"])),
+            "clean_text": F.concat_ws("\n", F.transform(F.filter(helper["judged"], lambda x: x["fault"].isNull()), lambda x: x["line"])),
         }
-    ).drop("__hashes", "__judged", "__lines")
+    ).drop(helper["hashes"], helper["judged"], helper["lines"])
     failed = (F.col("n_words") < p.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * p.max_repeat_percent)
     out = out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_lost_words") * 100 <= F.col("n_words") * p.max_lost_percent)

@@ -47,3 +47,10 @@ def test_empty_table(none):
 def test_no_python_in_the_plan(docs):
     plan = quality_rules.clean_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_helper_names_of_the_table_stay(spark):
+    rows = [(1, "word " * 60, 1, 2, 3), (2, None, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __words int, __lines int, __HASHES int")
+    got = {r.doc_id: r for r in quality_rules.clean_lines(df).collect()}
+    assert (got[1]["__words"], got[1]["__lines"], got[1]["__HASHES"], got[1].n_words) == (1, 2, 3, 60) and got[2].n_words == 0
