@@ -279,3 +279,45 @@ def query(spark, sf_dir: str) -> DataFrame:
     proof = F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), ""), 256)
     out = out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf(text: str) -> str:
+    part = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    return f"sha256({' || '.join(part.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+# the check sum bit by bit: each character of the id, then eight shifts
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: list_concat([ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT],
+    [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, {_leaf('text')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS tampered FROM documents
+), leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d
+), tree AS (
+  SELECT g, 0 AS lvl, idx, leaf AS h FROM leaves
+  UNION ALL
+  SELECT g, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM tree) WHERE c > 1 GROUP BY g, lvl, idx // 3
+), sub AS (SELECT g, max(lvl) AS top, arg_max(h, lvl) AS subroot FROM tree GROUP BY g
+), groups AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS gi FROM sub
+), upper AS (
+  SELECT 0 AS lvl, gi AS idx, subroot AS h FROM groups
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM upper) WHERE c > 1 GROUP BY lvl, idx // 3
+), whole AS (SELECT max(lvl) AS top, arg_max(h, lvl) AS root FROM upper
+), steps AS (
+  SELECT r, l.lvl, t.idx AS place, own, h FROM (SELECT r, g, unnest(range(0, top)) AS lvl, idx FROM leaves JOIN sub USING (g)) l,
+    LATERAL (SELECT l.idx // pow(3, l.lvl)::BIGINT AS own) o JOIN tree t ON t.g = l.g AND t.lvl = l.lvl AND t.idx // 3 = o.own // 3
+  UNION ALL
+  SELECT r, 1000 + l.lvl, t.idx, own, h FROM (SELECT r, gi, unnest(range(0, whole.top)) AS lvl FROM leaves JOIN groups USING (g), whole) l,
+    LATERAL (SELECT l.gi // pow(3, l.lvl)::BIGINT AS own) o JOIN upper t ON t.lvl = l.lvl AND t.idx // 3 = o.own // 3
+), sides AS (
+  SELECT r, lvl, coalesce(string_agg(h, '' ORDER BY place) FILTER (WHERE place < own), '') AS a, coalesce(string_agg(h, '' ORDER BY place) FILTER (WHERE place > own), '') AS z FROM steps GROUP BY r, lvl
+), paths AS (SELECT r, list(a || '|' || z ORDER BY lvl) AS path, string_agg(a || z, '' ORDER BY lvl) AS proof FROM sides GROUP BY r
+), out AS (
+  SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_concat([coalesce(tampered, leaf)], coalesce(path, [])), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root
+  FROM leaves JOIN groups USING (g) LEFT JOIN paths USING (r), whole
+)
+SELECT *, folded_root = root AS verified FROM out
+"""

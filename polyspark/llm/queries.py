@@ -38,4 +38,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op8_url_filters": url_filters.SQL, "op10_mixing": mixing.SQL}
+    return {
+        "op1_quality_rules": quality_rules.SQL,
+        "op8_url_filters": url_filters.SQL,
+        "op10_mixing": mixing.SQL,
+        "op11_warc": warc.SQL,
+        "op12_merkle": merkle.SQL,
+    }

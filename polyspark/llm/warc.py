@@ -302,3 +302,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     # a damaged record must not pass for a missing one
     sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("damaged record: "), "error", F.lit(" in "), "path"))).otherwise(F.col("record_type"))
     return rows.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
+
+
+SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages
+), f AS (
+  SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first FROM p WINDOW w AS (PARTITION BY x ORDER BY page_id NULLS LAST, r)
+)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((list_reduce(list_transform(range(0, 5),
+         lambda j: (instr('0123456789abcdef', x[i // 4 * 5 + j + 1]) - 1)::BIGINT), lambda a, b: a * 16 + b) >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1]), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to
+FROM f
+"""

@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 
 from polyspark.llm import merkle as m
@@ -107,3 +108,12 @@ def test_carried_names_do_not_clash(spark):
     got = m.prove(rows, "source", ["g"], "leaf", ["g", "level", "o0"])
     assert got.columns == ["g", "level", "o0", "leaf", "index", "subroot", "root", "path"]
     assert [r["index"] for r in sorted(got.collect())] == list(range(5))
+
+
+def test_same_as_sql(spark):
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    got = m.query(spark, at)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({m.SQL})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)

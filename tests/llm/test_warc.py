@@ -3,6 +3,7 @@ import glob
 import gzip
 import hashlib
 
+import duckdb
 import pytest
 
 from polyspark.llm import warc as w
@@ -102,3 +103,12 @@ def test_query(spark):
 def test_empty_table(spark, tmp_path):
     w.write_archives(spark.createDataFrame([], SCHEMA), f"{tmp_path}/a")
     assert w.read_archives(spark, f"{tmp_path}/a").count() == 0
+
+
+def test_same_as_sql(spark):
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{at}/pages.parquet'")
+    got = w.query(spark, at)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({w.SQL})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
