@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from polyspark.operators import ego_scan as ego
 from polyspark.operators import patch_state as ps
-from polyspark.operators import state
 from polyspark.operators.stages import settled
 from polyspark.plans import fixtures as fx
 from polyspark.plans.registry import query
@@ -110,24 +109,23 @@ def _shape() -> list:
     return ["category", "line_type", "start_type", "end_type", F.size("points").alias("n_points"), *ends]
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    patches, lines = _patches(spark, d), _global(spark, d)
-    return ps.pair_up(patches, lines, state.near_patch(patches, lines, VIEW.source_margin, VIEW.radius))
+def _seen(spark: SparkSession, d: str) -> ps.Seen:
+    return ps.Seen(_patches(spark, d), _global(spark, d), VIEW)
 
 
 @query(f"{_STATE} SELECT token, line FROM cand")
 def near_patch(spark: SparkSession, d: str) -> DataFrame:
-    return state.near_patch(_patches(spark, d), _global(spark, d), VIEW.source_margin, VIEW.radius)
+    return _seen(spark, d).near()
 
 
 @query(f"{_STATE}, {_PROJECTED} SELECT token, n::INT AS n, {_SHAPE} FROM projected")
 def project_to_patch(spark: SparkSession, d: str) -> DataFrame:
-    return ps.project(_pairs(spark, d), VIEW).select("token", "n", *_shape())
+    return _seen(spark, d).projected().select("token", "n", *_shape())
 
 
 @query(f"{_STATE}, {_TRACES} SELECT token, n::INT AS n, {_SHAPE} FROM traces")
 def cut_traces(spark: SparkSession, d: str) -> DataFrame:
-    return ps.cut_traces(_pairs(spark, d), VIEW).select("token", "n", *_shape())
+    return _seen(spark, d).traces().select("token", "n", *_shape())
 
 
 @query(f"{_STATE}, {_PROJECTED}, {_TRACES}, {_RANKED} SELECT token, rank::INT AS rank, traced, {_SHAPE} FROM states")

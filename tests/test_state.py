@@ -169,3 +169,35 @@ def test_cut_points(spark):
     lines = spark.createDataFrame(rows, f"line int, ord int, category string, line_type string, start_type string, end_type string, points {state.POINTS}, source_points {state.POINTS}, source_image string")
     got = ps.cut_points(patches.crossJoin(lines), view).collect()
     assert [[tuple(p) for p in r.points] for r in got] == [[(0.0, 31.5)], [(31.5, 0.5)]]
+
+
+def shared_input(spark):
+    """Patches of four crops of two images and some without one; lines met by both ways, and lines whose source pixels are not their vertices'."""
+    rng = np.random.default_rng(3)
+    patches = [(f"t{k}", float(rng.integers(-20, 20)), float(rng.integers(-20, 20)), 16, 16, (k % 2) * 10, 0, (k % 2) * 10 + 16, 16, ("", "a", "b")[k % 3]) for k in range(60)]
+    lines = []
+    for k in range(80):
+        pts = [(float(x), float(y)) for x, y in rng.uniform(-20, 20, (5, 2))]
+        source = [(x + 10, y + 10) for x, y in pts][: 3 if k % 9 == 0 else 5]
+        lines.append((k, k, "curb", "ab"[k % 2], "cut" if k % 3 else "start", "cut" if k % 2 else "end", pts, source if k % 11 else None, "ab"[k % 2]))
+    return (
+        spark.createDataFrame(patches, "token string, x double, y double, image_width int, image_height int, x_min int, y_min int, x_max int, y_max int, original_image string"),
+        spark.createDataFrame(lines, f"line long, ord long, category string, line_type string, start_type string, end_type string, points {state.POINTS}, source_points {state.POINTS}, source_image string"),
+    )
+
+
+@pytest.mark.parametrize("margin, overlap", [(2.0, 4.0), (6.0, 1.0)])
+def test_patches_of_a_crop_share_their_work(spark, margin, overlap):
+    """What a crop and a patch see apart is what all pairs give; a crop's lines are paired once, however many patches have it."""
+    patches, lines = shared_input(spark)
+    view = ps.View(size=64, metres=0.1, max_lines=4, overlap=overlap, endpoint=6.0, step=4.0, source_margin=margin, radius=3.0)
+    near = state.near_patch(patches, lines, margin, 3.0).cache()
+    pairs = ps.pair_up(patches, lines, near).cache()
+    seen = ps.Seen(patches, lines, view)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(seen.near().select("token", "line")) == rows(near.select("token", "line"))
+    assert rows(seen.candidates()) == rows(near.groupBy("token").agg(F.count("*").alias("n")))
+    assert rows(seen.traces()) == rows(ps.cut_traces(pairs, view)) != []
+    want = ps._projected(pairs, ps.View(**{**vars(view), "max_lines": 1000})).filter("n <= 4").select("token", "n", *ps._SHOWN)
+    assert rows(seen.projected()) == rows(want) != []
+    assert seen.by_crop.count() + seen.by_patch.count() < near.count() / 2
