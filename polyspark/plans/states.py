@@ -167,8 +167,7 @@ def state_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def map_versions(spark: SparkSession, d: str) -> DataFrame:
-    _, _, versions = ps.state_scan(*scan_input(spark, d), SCAN)
-    return versions.select("scene", "pos", "rank", "died", *_shape())
+    return ps.merged(*scan_input(spark, d), SCAN).select("scene", "pos", "rank", "died", *_shape())
 
 
 @query()

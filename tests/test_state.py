@@ -201,3 +201,14 @@ def test_patches_of_a_crop_share_their_work(spark, margin, overlap):
     want = ps._projected(pairs, ps.View(**{**vars(view), "max_lines": 1000})).filter("n <= 4").select("token", "n", *ps._SHOWN)
     assert rows(seen.projected()) == rows(want) != []
     assert seen.by_crop.count() + seen.by_patch.count() < near.count() / 2
+
+
+def test_versions_project_nothing(spark, monkeypatch):
+    """The query of the versions merges the map and does not show it to every patch."""
+    want = as_rows_of_query(ps.state_scan(*states.scan_input(spark, SF), states.SCAN)[2])
+    monkeypatch.setattr(ps, "state_lines", lambda *a, **b: pytest.fail("projected"))
+    assert as_rows_of_query(states.map_versions(spark, SF)) == want
+
+
+def as_rows_of_query(versions):
+    return sorted(map(repr, versions.select("scene", "pos", "rank", "died", "category", "line_type").collect()))
