@@ -134,3 +134,20 @@ def test_prefix_and_prompt_cases(spark):
     assert r.short == r.none == [5, 6] and r.xy == [4, 6] and r.full == [6]
     assert r.up == [5, 22, 246, 470 + round(90 * 359 / 360), 22, 246, 470 + round(90 * 359 / 360), 6]
     assert r.prompt == f"{text.NO_STATE_USED} 1"
+
+
+def test_tables_without_lines(spark):
+    """Splits, geometry, summary and manifest from patches and lines apart are those of samples with lines; no row holds the lines of a raw image."""
+    base = [(f"p{k:02d}", 40, f"t{k % 3}", "train", "c", 20 + k % 4 * 10, 25 + k % 4 * 9, k, k, k + 40, k + 40, None if k % 4 == 0 else k / 10, k / 20, lines_of(k, k % 6, 40)) for k in range(17)]
+    raw = spark.createDataFrame([(f"t{k}", 120, 110, lines_of(k + 50, 30, 110)) for k in range(2)], "source_image string, raw_width int, raw_height int, raw_lines " + ds.LINES)
+    base, names = spark.createDataFrame(base, BASE), spark.createDataFrame([(b[0],) for b in base[1:]], "token string")
+    bounds = ds.tile_bounds(spark.createDataFrame([("t0", 0.0, 0.0), ("t0", 1.0, 1.0)], "image string, lon double, lat double"))
+    want = ds.build(ds.samples(base, names, raw, bounds, AUG, ["token"]), ["token"])
+    given = (names, raw.drop("raw_lines"))
+    rows = ds.places(base.drop("lines"), *given, bounds, AUG, ["token"])
+    own = base.select("token", F.explode("lines").alias("l")).select("token", "l.points")
+    counts = ds.counted(base.drop("lines"), own, *given, raw.select("source_image", F.explode("raw_lines").alias("l")).select("source_image", "l.points"), bounds, AUG, ["token"])
+    got = {"splits": ds.splits(rows, ["token"]), "patch_geometry": ds.patch_geometry(rows), "summary": ds.summary(rows), "manifest": ds.manifest(counts)}
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert {k: plain(v) for k, v in got.items()} == {k: plain(want[k]) for k in got}
+    assert want["manifest"].filter("num_lines = 0").count() > 0 and "lines" not in rows.columns + counts.columns
