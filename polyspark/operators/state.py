@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,13 @@ from pyspark.sql import functions as F
 
 from polyspark.functions import geometry as g
 from polyspark.operators.linemap import ATTACH_RADIUS, Line, LineMap
+from polyspark.operators.stages import settled
 
 POINTS = "array<struct<x:double,y:double>>"
+#: Points of versions that a task hands on at once.
+FRAME_POINTS = 50_000
+#: Ends for which one look into cells of the radius' size will do.
+FEW_ENDS = 1000
 
 
 def _nine() -> Column:
@@ -64,8 +71,23 @@ def nearest_end(new: DataFrame, base: DataFrame, radius: float) -> DataFrame:
     """For each new line the base line of its category and type whose end is nearest to one of its ends, within ``radius``.
 
     Of equal distances the first way (base end to new start, start to end, end to end, start to start), then the first base.
+    The more ends there are, the smaller are the first cells: what a line finds within a cell's width is its nearest, and only lines
+    that find nothing look again, twice as far.
     """
-
+    new, base = (settled(df.select("line", "category", "line_type", F.array(F.get("points", F.lit(0)), F.element_at("points", -1)).alias("points")), "ends") for df in (new, base))
+    rounds = max(1, ceil(log2(max(1, base.count() / FEW_ENDS)) / 2) + 1)
+    out = None
+    for k in reversed(range(rounds)):
+        found = _nearest_within(new, base, radius / 2**k)
+        if k:
+            found = settled(found, "nearest")
+            new = new.join(found.select("line"), "line", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_within(new: DataFrame, base: DataFrame, radius: float) -> DataFrame:
+    """As ``nearest_end``, in one look into cells of the radius' size."""
     def ends(df: DataFrame, name: str) -> DataFrame:
         p = F.posexplode(F.array(F.get("points", F.lit(0)), F.element_at("points", -1))).alias("side", "e")
         rows = df.select(F.col("line").alias(name), "category", "line_type", p)
@@ -100,40 +122,54 @@ def _row(key: tuple, line: Line, died: int | None) -> tuple:
     return (scene, pos, rank, seq, died, category, line_type, *line.kinds, as_points(line.points), line.extra.get("source_points"), line.extra.get("source_image"))
 
 
-def _versions(radius: float):
+def _versions(radius: float, died: bool = True):
     columns = [c.split()[0] for c in _VERSION.replace(POINTS, "p").split(",")]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"died": "Int64"})
+    def frames(key: tuple, lines: Iterable[tuple[Line, int | None]]) -> Iterator[pd.DataFrame]:
+        """Rows of versions, no more points at once than ``FRAME_POINTS`` and one line have."""
+        rows, points = [], 0
+        for line, at in lines:
+            rows.append(_row(key, line, at))
+            points += len(line.points)
+            if points > FRAME_POINTS:
+                yield pd.DataFrame(rows, columns=columns).astype({"died": "Int64"})
+                rows, points = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns).astype({"died": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, lines, seq = None, LineMap(radius), 0
-        for b in batches:
-            rows: list[tuple] = []
-            for r in b.itertuples(index=False):
-                if (r.scene, r.category, r.line_type) != key:
-                    rows += [_row(key, x, None) for x in lines.lines.values()]
-                    key, lines = (r.scene, r.category, r.line_type), LineMap(radius)
+
+        def merged(rows: Iterable) -> Iterator[tuple[Line, int | None]]:
+            """Adds lines of one kind; what they take up."""
+            nonlocal seq
+            for r in rows:
                 source = {} if r.source_image is None else {"source_points": r.source_points, "source_image": r.source_image}
                 # repeated rows share a place, so a running number tells them apart
                 seq += 1
                 _, gone = lines.add(Line((int(r.pos), int(r.rank), seq), as_array(r.points), (r.start_type, r.end_type), source))
-                if gone is not None:
-                    rows.append(_row(key, gone, int(r.pos)))
-            yield frame(rows)
-        yield frame([_row(key, x, None) for x in lines.lines.values()])
+                if gone is not None and died:
+                    yield gone, int(r.pos)
+
+        for b in batches:
+            for now, rows in groupby(b.itertuples(index=False), key=lambda r: (r.scene, r.category, r.line_type)):
+                if now != key:
+                    yield from frames(key, ((x, None) for x in lines.lines.values()))
+                    key, lines = now, LineMap(radius)
+                yield from frames(key, merged(rows))
+        yield from frames(key, ((x, None) for x in lines.lines.values()))
 
     return run
 
 
-def map_versions(lines: DataFrame, radius: float = ATTACH_RADIUS) -> DataFrame:
+def map_versions(lines: DataFrame, radius: float = ATTACH_RADIUS, died: bool = True) -> DataFrame:
     """Every version of every line of the growing map: ``pos, rank, seq`` of the new line that made it, ``died`` the patch at which another took it up.
 
     Lines (``scene, pos, rank, category, line_type, start_type, end_type, points`` in metres, and ``source_points, source_image``
     where there are any) are added in the order of ``pos, rank``. Only lines of one category and type ever meet, so each kind of a
     scene is merged by itself; rows are streamed in order and a task holds one kind's live lines, not its input. A line that
-    took up another one has no source pixels.
+    took up another one has no source pixels. Without ``died`` only the versions that nothing took up come out: the points of all versions
+    of a line that grows are as many as the square of its own.
     """
     for c, kind in (("source_points", POINTS), ("source_image", "string")):
         if c not in lines.columns:
@@ -143,11 +179,11 @@ def map_versions(lines: DataFrame, radius: float = ATTACH_RADIUS) -> DataFrame:
         F.coalesce("category", F.lit("")).alias("category"), F.coalesce("line_type", F.lit("")).alias("line_type"), "start_type", "end_type", "points", "source_points", "source_image",
     )
     rows = rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "pos", "rank")
-    return rows.mapInPandas(_versions(radius), _VERSION)
+    return rows.mapInPandas(_versions(radius, died), _VERSION)
 
 
 def merge_maps(lines: DataFrame, radius: float = ATTACH_RADIUS) -> DataFrame:
     """The merged map of every scene: the versions that nothing took up, numbered in their order."""
-    alive = map_versions(lines, radius).filter("died IS NULL")
+    alive = map_versions(lines, radius, died=False)
     number = F.row_number().over(Window.partitionBy("scene").orderBy("pos", "rank", "seq")) - 1
     return alive.select("scene", number.alias("line_no"), "category", "line_type", "start_type", "end_type", "points")

@@ -212,3 +212,52 @@ def test_versions_project_nothing(spark, monkeypatch):
 
 def as_rows_of_query(versions):
     return sorted(map(repr, versions.select("scene", "pos", "rank", "died", "category", "line_type").collect()))
+
+
+def end_rows(spark, rng, n, first):
+    rows = [(first + k, "c", "ab"[k % 2], [tuple(map(float, p)) for p in rng.integers(0, 40, (3, 2))]) for k in range(n)]
+    return rows, spark.createDataFrame(rows, f"line long, category string, line_type string, points {state.POINTS}")
+
+
+def test_nearest_end_by_growing_cells(spark, monkeypatch):
+    """Small cells first give the same nearest ends, ties included, and a line looks again only where it found nothing."""
+    monkeypatch.setattr(state, "FEW_ENDS", 1)
+    looks, within = [], state._nearest_within
+    monkeypatch.setattr(state, "_nearest_within", lambda n, b, r: looks.append((r, n.count())) or within(n, b, r))
+    rng = np.random.default_rng(1)
+    (new, a), (base, b) = end_rows(spark, rng, 150, 0), end_rows(spark, rng, 150, 1000)
+    want = set()
+    for n in new:
+        best = [(float(np.hypot(*np.subtract(p[-u], q[-v]))), m, w) for m, _, t, p in base if t == n[2] for q in (n[3],) for w, (u, v) in enumerate(((1, 3), (3, 1), (1, 1), (3, 3)))]
+        best = min(x for x in best)
+        if best[0] <= 8.0:
+            want.add((n[0], best[1], best[2], round(best[0], 9)))
+    assert {(r.line, r.base, r.way, round(r.dist, 9)) for r in state.nearest_end(a, b, 8.0).collect()} == want
+    assert len(looks) > 3 and looks[-1][0] == 8.0 and looks[-1][1] < looks[0][1]
+
+
+def test_merged_map_gives_no_dead_version(spark, monkeypatch):
+    """The merged map is the live versions, from a merge that hands on no version that was taken up, a few points at a time."""
+    rows = [("s", *o[:2], "c", "t", *kinds, [tuple(map(float, p)) for p in pts]) for o, kinds, pts in random_lines(2)]
+    df = spark.createDataFrame(rows, f"scene string, pos long, rank int, category string, line_type string, start_type string, end_type string, points {state.POINTS}")
+    made = state._versions(3.0, died=False)
+    data = df.withColumns({"source_points": F.lit(None).cast(state.POINTS), "source_image": F.lit(None).cast("string")}).orderBy("pos", "rank").toPandas()
+    monkeypatch.setattr(state, "FRAME_POINTS", 5)
+    frames = list(made(iter([data])))
+    assert all(f.died.isna().all() for f in frames) and max(sum(map(len, f.points)) - len(f.points.iloc[-1]) for f in frames) <= 5
+    every = state.map_versions(df, 3.0)
+    assert every.filter("died IS NOT NULL").count() > 0
+    assert sum(map(len, frames)) == every.filter("died IS NULL").count() == state.merge_maps(df, 3.0).count()
+
+
+def test_frames_look_at_old_lines_first(spark):
+    """Rounds by age give what each frame sees of all lines before it; frames that have enough look no further."""
+    from polyspark.operators import ego_scan as ego
+
+    frames, lines = states._frames(spark, "/root/testdata/sf0.01")
+    known = ego.first_seen(ego.to_world(lines, frames)).cache()
+    assert len(ego._ages(known, 1)) > 1 and ego._ages(known, 1000) == []
+    got = ego.seen_before(frames, known, 224, 2, 10.0)
+    all_at_once = ego.seen_before(frames, known, 224, 1000, 10.0)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(all_at_once.filter("rank <= 2")) != []
