@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays (words in fives, Jaccard 0.8 or more): that with the smallest id.
+    """One document of each group of similar ones stays, that with the smallest id: op2's links (fingerprints within 3 bits) and those of words in fives with Jaccard 0.8 or more.
 
     Of rows of equal id and text one stays. A document without an id goes last; texts without a word are equal to each other.
     """

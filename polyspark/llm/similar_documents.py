@@ -1,4 +1,7 @@
-"""Near-duplicate documents: candidates by an exact prefix filter on rare shingles, then exact Jaccard.
+"""Near-duplicate documents: the SimHash links of ``simhash``, and what they miss by an exact prefix filter and exact Jaccard.
+
+Documents are linked where their fingerprints are (``simhash.links``: ``MAX_DISTANCE`` bits or fewer), and where their sets of word shingles have
+Jaccard ``MIN_SIMILARITY`` or more; groups are the components of both kinds of links together.
 
 Documents with the same set of word shingles are one class. The shingles of a class are put in one order for all
 classes, rare ones first: those that are frequent among the smallest hashes go last. Two sets of enough
@@ -31,33 +34,60 @@ from polyspark.llm.sentencepiece_codec import slices
 
 WORDS = 5
 MIN_SIMILARITY = 0.8
+#: Words of a fingerprint's shingles, and most bits in which linked fingerprints differ.
+PRINT_WORDS = 3
+MAX_DISTANCE = 3
 #: Most shingles that are known as frequent (12 bytes each, broadcast), and from how many classes on.
 FREQUENT = 1 << 20
 FREQUENT_FROM = 3
 #: Candidates of one probe under one key that are given as pairs.
-FEW = 4
+FEW = 32
 #: Classes under one key that a task holds.
 BLOCK = 8192
 #: Classes of a dense component that are compared at once.
 SET_BLOCK = 256
 CELL = 4_000_000
+#: Shingles that a task counts at once.
+CHUNK = 1 << 20
 NO_ID = (1 << 63) - 1
+NO_POS = (1 << 31) - 1
+
+
+def _sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    return [np.unique(simhash.shingle_hashes(t, words)) for t in texts]
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([simhash.xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
 
 
 def prints(docs: DataFrame, words: int) -> DataFrame:
-    """``id, th, sd, n, shingles``: text hash, hash of the shingle set, its size and its sorted hashes for every row."""
+    """``id, th, sd, fp``: text hash, hash of the shingle set and fingerprint of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                texts = b.column("text").to_pylist()
+                fp = [simhash.fingerprint(simhash.shingle_hashes(t, PRINT_WORDS)) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), _digests(_sets(texts, words)), pa.array(fp, pa.int64())], ["id", "th", "sd", "fp"])
+
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, sd long, fp long")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``sd, shingles``: the sorted hashes of the shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                sets = [np.unique(simhash.shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
-                sd = np.array([simhash.xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("th"), pa.array(sd), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    ["id", "th", "sd", "n", "shingles"],
-                )
+                sets = _sets(b.column("text").to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([_digests(sets), _lists(sets)], ["sd", "shingles"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, sd long, n int, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "sd long, shingles array<long>")
 
 
 _HEADS = "sd long, n int, head array<long>, sketch array<long>"
@@ -84,25 +114,69 @@ def _may_be_similar(share: float):
     return F.expr(f"COALESCE({differ} <= (n + m) * CAST({(1 - share) / (1 + share)} AS DOUBLE) + 1e-6, true)")
 
 
-def _prefixes(share: float, frequent=None):
+def _first(words: int, share: float):
+    """``t``: the smallest shingles of each set, as many as its prefix has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                firsts = [x[: prefix_length(len(x), share)] for x in _sets(b.column("text").to_pylist(), words)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64))], ["t"])
+
+    return run
+
+
+def _prefixes(words: int, share: float, frequent):
     """``sd, n, head, sketch``: the first shingles of each set; ``frequent`` (sorted hashes and their counts) go last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sets = _sets(b.column("text").to_pylist(), words)
+                heads = []
+                for x in (y.view(np.int64) for y in sets):
+                    if len(frequent.value[0]):
+                        value, count = frequent.value
+                        at = np.minimum(np.searchsorted(value, x), len(value) - 1)
+                        x = x[np.argsort(np.where(value[at] == x, count[at], 0), kind="stable")]
+                    heads.append(x[: prefix_length(len(x), share)])
+                n = pa.array([len(x) for x in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([_digests(sets), n, _lists(heads), _lists([sketch(x.view(np.int64)) for x in sets])], ["sd", "n", "head", "sketch"])
+
+    return run
+
+
+def _counts(chunk: int):
+    """``key, times``: shingles that come twice or more in about ``chunk`` of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            key, times = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key[times > 1]), pa.array(times[times > 1])], ["key", "times"])
+
         for b in batches:
-            heads, sketches = [], []
-            for x in b.column("shingles"):
-                x = x.values.to_numpy()
-                sketches.append(sketch(x))
-                if frequent is not None and len(frequent.value[0]):
-                    value, count = frequent.value
-                    at = np.minimum(np.searchsorted(value, x), len(value) - 1)
-                    x = x[np.argsort(np.where(value[at] == x, count[at], 0), kind="stable")]
-                heads.append(x[: prefix_length(len(x), share)])
-            yield pa.RecordBatch.from_arrays([b.column("sd"), b.column("n"), pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["sd", "n", "head", "sketch"])
+            held.append(b.column("head").flatten().to_numpy())
+            if sum(map(len, held)) >= chunk:
+                yield counted()
+        yield counted()
 
     return run
 
 
+def hot_keys(heads: DataFrame, n: int, block: int) -> DataFrame:
+    """``key, cells``: shingles that lead more classes than a task should hold, and how many cells they are dealt to.
+
+    Only what comes twice or more in a chunk is counted over all chunks. At most half a block of a shingle's classes stand alone in their chunk as
+    long as there are no more chunks than that, so none with over a block of classes is missed; a cell too many changes no result.
+    """
+    counts = heads.select("head").mapInArrow(_counts(max(CHUNK, n // max(1, block // 4))), "key long, times long")
+    counts = counts.groupBy("key").agg(F.sum("times").alias("times")).filter(F.col("times") > block / 2)
+    return materialize(counts.select("key", F.ceil((F.col("times") + block / 2) / block).cast("int").alias("cells")), "similar-hot")
+
+
 def _allowed(share: float, n, pos, m, at):
     """Whether sets of ``n`` and ``m`` shingles whose first common one is at ``pos`` and ``at`` may be similar."""
     most = np.minimum(pos, at) + 1 + np.minimum(n - pos, m - at) - 1
@@ -158,7 +232,8 @@ def _meet(share: float):
                 owners.meet(share, *rows, True, give)
 
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("key", "cell", "role", "sd", "n", "pos")]
+            key_, cell, sd, at = (b.column(c).to_numpy() for c in ("key", "cell", "sd", "at"))
+            cols = [key_, cell, at >> 62, sd, at >> 31 & NO_POS, at & NO_POS]
             if not len(cols[0]):
                 continue
             new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
@@ -203,9 +278,9 @@ def _pairs(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "a", "b"])
 
 
-def frequent_shingles(marks: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(plain: DataFrame, words: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the most frequent shingles among the smallest of each set."""
-    counts = marks.mapInArrow(_prefixes(share), _HEADS).select(F.explode("head").alias("t")).groupBy("t").count()
+    counts = plain.select("text").mapInArrow(_first(words, share), "t long").groupBy("t").count()
     counts = materialize(counts.filter(F.col("count") >= FREQUENT_FROM), "similar-frequent")
     least, total = 1 << 62, 0
     for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
@@ -217,32 +292,32 @@ def frequent_shingles(marks: DataFrame, share: float) -> tuple[np.ndarray, np.nd
     return got.column("t").to_numpy(), np.minimum(got.column("count").to_numpy(), (1 << 31) - 1).astype(np.int32)
 
 
-def ordered_heads(marks: DataFrame, share: float) -> DataFrame:
+def ordered_heads(plain: DataFrame, words: int, share: float) -> DataFrame:
     """``sd, n, head, sketch`` once for every class."""
-    value = frequent_shingles(marks, share)
-    shared = broadcast_value(marks.sparkSession, value, sum(v.nbytes for v in value))
-    heads = marks.mapInArrow(_prefixes(share, shared), _HEADS).groupBy("sd")
+    value = frequent_shingles(plain, words, share)
+    shared = broadcast_value(plain.sparkSession, value, sum(v.nbytes for v in value))
+    heads = plain.select("text").mapInArrow(_prefixes(words, share, shared), _HEADS).groupBy("sd")
     return materialize(heads.agg(*(F.first(c).alias(c) for c in ("n", "head", "sketch"))), "similar-heads")
 
 
 def candidates(heads: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
     """``kind, a, b``: of kind 0 pairs to verify, of kind 1 links of forests over the denser candidates."""
     spark = heads.sparkSession
-    rows = heads.select("sd", "n", F.posexplode("head").alias("pos", "key"))
-    # keys with more classes than a task should hold
-    hot = rows.groupBy("key").count().filter(F.col("count") > block)
-    hot = materialize(hot.select("key", F.ceil(F.col("count") / block).cast("int").alias("cells")), "similar-hot")
+    n = heads.agg(F.sum(F.size("head"))).first()[0] or 0
+    tasks = partitions_for(n, simhash.ROWS_PER_TASK, spark)
+    # size and place in one number, under a bit that probes have
+    place = F.shiftleft(F.col("n").cast("long"), 31) + F.col("pos")
+    rows = heads.select("sd", "n", F.posexplode("head").alias("pos", "key")).select("key", "sd", place.alias("at"))
+    hot = hot_keys(heads, n, block)
     if hot.isEmpty():
-        rows = rows.withColumns({"cell": F.lit(0), "role": F.lit(0)})
+        rows = rows.repartition(tasks, "key").sortWithinPartitions("key", "at").withColumn("cell", F.lit(0))
     else:
         rows = rows.join(hot, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
         rows = rows.withColumn("own", F.expr("CAST(pmod(xxhash64(sd), cells) AS INT)"))
         # a class is held in its cell and probes the cells before it
         rows = rows.withColumn("cell", F.explode(F.expr("sequence(0, own)")))
-        rows = rows.withColumn("role", (F.col("cell") != F.col("own")).cast("int"))
-    n = heads.agg(F.sum(F.size("head"))).first()[0] or 0
-    rows = rows.select("key", "cell", "role", "sd", "n", "pos").repartition(partitions_for(n, simhash.ROWS_PER_TASK, spark), "key", "cell")
-    rows = rows.sortWithinPartitions("key", "cell", "role", "sd")
+        rows = rows.select("key", "cell", "sd", (F.col("at") + F.when(F.col("cell") != F.col("own"), F.lit(1 << 62)).otherwise(0)).alias("at"))
+        rows = rows.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "at")
     return rows.mapInArrow(_meet(share), "kind int, a long, b long").distinct()
 
 
@@ -313,9 +388,24 @@ def _compare(least: float):
     return run
 
 
-def similar_classes(classes: DataFrame, plain: DataFrame, marks: DataFrame, words: int, least: float) -> DataFrame:
+def print_links(rows: DataFrame, max_distance: int) -> DataFrame:
+    """``a, b``: links between classes (by ``sd``) that connect all that fingerprints (``fp``) within ``max_distance`` bits connect.
+
+    A fingerprint stands for the class with the smallest hash that has it; rows of one class may differ in theirs.
+    """
+    rows = materialize(rows.select("sd", "fp").distinct(), "similar-fingerprints")
+    home = materialize(rows.groupBy("fp").agg(F.min("sd").alias("home")), "similar-homes")
+    found = simhash.links(home.select("fp"), max_distance).distinct()
+    ends = (home.select(F.col("fp").alias(f"fp_{c}"), F.col("home").alias(c)) for c in "ab")
+    for end in ends:
+        found = found.join(end, [c for c in end.columns if c.startswith("fp_")])
+    own = rows.join(home, "fp").select(F.col("sd").alias("a"), F.col("home").alias("b"))
+    return own.filter("a <> b").unionByName(found.select("a", "b"))
+
+
+def similar_classes(classes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
     """``a, b``: links between classes (by ``sd``) that connect all that true links among the candidates connect."""
-    heads = ordered_heads(marks, least)
+    heads = ordered_heads(plain, words, least)
     found = materialize(candidates(heads, least), "similar-candidates")
     left = heads.select(F.col("sd").alias("a"), "n", F.col("sketch").alias("x"))
     right = heads.select(F.col("sd").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
@@ -327,7 +417,7 @@ def similar_classes(classes: DataFrame, plain: DataFrame, marks: DataFrame, word
     needed = pairs.select(F.col("a").alias("sd")).unionByName(pairs.select(F.col("b").alias("sd"))).unionByName(dense.select("sd")).distinct()
     needed = needed.join(classes.select("sd", "rep.id", "rep.th"), "sd").select("id", "th")
     texts = plain.join(needed, ["id", "th"]).dropDuplicates(["id", "th"])
-    sets = materialize(prints(texts, words).select("sd", "shingles"), "similar-sets")
+    sets = materialize(shingle_sets(texts, words), "similar-sets")
     both = pairs.join(sets.select(F.col("sd").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sd").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     checked = both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -341,16 +431,15 @@ def similar_classes(classes: DataFrame, plain: DataFrame, marks: DataFrame, word
     return checked.unionByName(cells.mapInArrow(_compare(least), "a long, b long"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, least: float = MIN_SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, least: float = MIN_SIMILARITY, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the one with the smallest ``doc_id`` stays."""
     own_id, own_th, n = (free_prefix(docs) + name for name in ("id", "th", "n"))
     rows = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_th: F.xxhash64(F.coalesce("text", F.lit("")))})
     plain = rows.select(F.col(own_id).alias("id"), F.col(own_th).alias("th"), "text")
-    shingled = prints(plain, words)
-    marks = materialize(shingled.select("id", "th", "sd"), "similar-prints")
+    marks = materialize(prints(plain, words), "similar-prints")
     classes = marks.groupBy("sd").agg(F.min(F.struct("id", "th")).alias("rep"))
     classes = materialize(classes, "similar-classes")
-    links = similar_classes(classes, plain, shingled, words, least)
+    links = print_links(marks, max_distance).unionByName(similar_classes(classes, plain, words, least))
     comp = connected_components(links).withColumnsRenamed({"id": "sd"})
     groups = classes.join(comp, "sd", "left").groupBy(F.coalesce("component", "sd").alias("g")).agg(F.min("rep").alias("rep"))
     # rows with the same id and text: one of them

@@ -123,3 +123,31 @@ def test_helper_names_of_the_table_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __th int, __n int, __copy int")
     got = s.keep_one(df).collect()
     assert sorted((r.doc_id, r["__id"], r["__th"], r["__n"], r["__copy"]) for r in got) == [(1, 1, 2, 3, 4), (3, 9, 9, 9, 9)]
+
+
+def test_fingerprints_link_what_jaccard_does_not(spark):
+    """Links of op2, of Jaccard, and a group that only both together connect."""
+    from polyspark.llm import simhash
+
+    rng = random.Random(9)
+    line = words(rng, 9)
+    by_print = [f"{line}\n" * 60 + words(rng, 20) for _ in range(3)]
+    w = words(rng, 60)
+    alike = [by_print[2] + " " + words(rng, 2), w, w + " " + words(rng, 6)]
+    texts = by_print + alike + [words(rng, 40)]
+    fp = [simhash.fingerprint(simhash.shingle_hashes(t, 3)) % 2**64 for t in texts]
+    sets = [shingles(t) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    near = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3
+    assert near(0, 1) and jaccard(0, 1) < 0.5 and jaccard(4, 5) > 0.8 and not near(4, 5)
+    n = len(texts)
+    root = components(n, [(i, j) for i in range(n) for j in range(i) if near(i, j) or jaccard(i, j) >= 0.8])
+    table = spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, table, "").collect()) == sorted({10 + r for r in root})
+
+
+def test_keys_of_many_classes_are_found_in_chunks(spark, monkeypatch):
+    heads = spark.createDataFrame([(i, [1, 100 + i, 2 if i < 4 else 200 + i]) for i in range(40)], "sd long, head array<long>").repartition(3)
+    monkeypatch.setattr(s, "CHUNK", 30)
+    assert {r.key: r.cells for r in s.hot_keys(heads, 120, 16).collect()} == {1: 3}
+    assert s.hot_keys(heads, 120, 8192).isEmpty()
