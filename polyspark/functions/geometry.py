@@ -45,10 +45,8 @@ def length(points: Column) -> Column:
 
 def cumulative(points: Column) -> Column:
     """Arc length at each vertex."""
-    return let(
-        segments(points),
-        lambda seg: F.transform(F.sequence(F.lit(0), F.size(seg)), lambda i: F.aggregate(F.slice(seg, F.lit(1), i), F.lit(0.0), lambda s, x: s + x)),
-    )
+    add = lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x)
+    return F.aggregate(segments(points), F.array(F.lit(0.0)), add)
 
 
 def at_arc(points: Column, cum: Column, t: Column) -> Column:

@@ -114,7 +114,7 @@ def as_array(points) -> np.ndarray:
 
 
 def as_points(array: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in array]
+    return [{"x": x, "y": y} for x, y in array.tolist()]
 
 
 def _row(key: tuple, line: Line, died: int | None) -> tuple:

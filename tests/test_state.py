@@ -272,3 +272,45 @@ def test_pairs_of_one_crop_are_dealt_to_many_tasks(spark):
     assert len(got) == len(want) and set(got) == want
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 8 and max(sizes) < len(want) / 4
+
+
+def test_projection_in_batches_is_that_of_expressions(spark):
+    """Densified, cut, clamped and thinned as by the functions of geometry, to the last bit: nulls, single vertices, repeats, corners and both kinds of windows."""
+    from polyspark.functions import geometry as g
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        pts = [(float(x), float(y)) for x, y in rng.uniform(-9, 9, (k % 7, 2)).round(k % 3)]
+        pts = [p for p in pts for _ in range(1 + k % 2)] + ([(None, 1.0), (2.0, float("nan"))] if k % 13 == 0 else [])
+        source = [(None if x is None else x + 8, y + 8) for x, y in pts]
+        rows.append((f"t{k % 5}", k, "curb", "", float(k % 3), -1.0, 16, 20, 2, 2, 14, 14, "a" if k % 5 < 2 else "", None if k % 11 == 0 else pts, source, "a" if k % 2 else "b"))
+    kinds = "token string, ord long, category string, line_type string, x double, y double, image_width int, image_height int, x_min int, y_min int, x_max int, y_max int, original_image string"
+    pairs = spark.createDataFrame(rows, f"{kinds}, points {state.POINTS}, source_points {state.POINTS}, source_image string")
+    view = ps.View(size=64, metres=0.5, max_lines=1000, overlap=6.0, step=0.7)
+    m, hi, same = view.overlap, 63.0, ps._same_image()
+    dense = F.when(same, g.densify(F.col("source_points"), 2.0)).otherwise(g.densify(F.col("points"), view.step))
+    rows = pairs.withColumn("dense", dense).withColumn("pixels", F.when(same, ps._on_crop(F.col("dense"), view)).otherwise(ps._on_patch(F.col("dense"), view)))
+    in_crop = F.transform("dense", lambda p: ps._within(p, F.col("x_min") - m, F.col("x_max") + m, F.col("y_max") + m, F.col("y_min") - m))
+    rows = rows.withColumn("inside", F.when(same, in_crop).otherwise(F.transform("pixels", lambda p: ps._within(p, -m, hi + m, hi + m)))).filter(F.array_contains("inside", True))
+    start = F.greatest(F.array_position("inside", True) - 3, F.lit(0)).cast("int")
+    end = F.least(F.size("inside") - F.array_position(F.reverse("inside"), True) + 2, F.size("inside") - 1).cast("int")
+    rows = rows.withColumns({"a": start, "z": end}).withColumn("run", g.thin(g.clip(F.slice("pixels", F.col("a") + 1, F.col("z") - F.col("a") + 1), 0.0, hi)))
+    border = lambda p: g.on_border(p, 64, view.border)
+    kinds = F.when((F.col("a") > 0) | border(F.get("run", F.lit(0))), "cut").otherwise("start"), F.when((F.col("z") < F.size("pixels") - 1) | border(F.element_at("run", -1)), "cut").otherwise("end")
+    want = rows.select("token", "ord", kinds[0].alias("start_type"), kinds[1].alias("end_type"), F.col("run").alias("points"))
+    got = ps._projected(pairs, view).select("token", "ord", "start_type", "end_type", "points")
+    shown = lambda df: sorted((r.token, r.ord, r.start_type, r.end_type, tuple(map(tuple, r.points))) for r in df.collect())
+    assert shown(got) == shown(want) and len(shown(want)) > 100
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_leading_pairs_leave_no_first_line_out(spark):
+    """Whatever is behind enough certain lines goes before anything is densified; the first lines stay the same."""
+    patches, lines = shared_input(spark)
+    view = ps.View(size=64, metres=0.1, max_lines=3, overlap=4.0, step=4.0, source_margin=2.0, radius=3.0)
+    pairs = ps.pair_up(patches, lines, state.near_patch(patches, lines, 2.0, 3.0)).cache()
+    leading = ps.pair_up(patches, lines, ps._leading(pairs, view)).cache()
+    rows = lambda df: sorted(map(repr, ps.project(df, view).collect()))
+    assert rows(leading) == rows(pairs) != []
+    assert leading.count() < pairs.count()
