@@ -1,6 +1,6 @@
 """Token-ID output in training order: a keyed Feistel permutation gives every sequence a global slot.
 
-Every document is coded and cut into sequences of ``seq_len`` ids (the last one padded). Sequences are numbered
+Documents are put in order by range, then coded and cut into sequences of ``seq_len`` ids (the last one padded). Sequences are numbered
 without gaps in the order of a hash of the document's id, then id and text hash, however the table is partitioned; the
 Feistel network over the next even number of bits, walked along its cycle until the value is below the count, permutes the
 numbers. Slots are dealt by range to shards of ``per_shard`` sequences, and ``write_shards`` writes each as a raw file of
@@ -30,9 +30,8 @@ PER_SHARD = 2048
 PAD = 0
 KEY = 20240607
 ROUNDS = 6
-#: Documents of a bucket, about, and parts of a group of equal rows.
+#: Documents that a task puts in order and codes, about.
 ROWS_PER_BUCKET = 4096
-PARTS = 64
 BYTES_PER_TASK = 64 << 20
 
 
@@ -75,14 +74,16 @@ def permute(numbers: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
 
 def _code(shared, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec, before = codec_of(shared), 0
         for whole in batches:
             for b in slices(whole, "text"):
                 ids = [codec.encode_bytes(t) if t else b"" for t in b.column("text").to_pylist()]
                 n_seq = np.array([-(-len(x) // (2 * layout.seq_len)) for x in ids], dtype=np.int64)
+                inside = before + np.cumsum(n_seq) - n_seq
+                before += int(n_seq.sum())
                 keep = np.flatnonzero(n_seq)
-                rest = [b.column(c).take(pa.array(keep)) for c in ("doc_id", "place", "th")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n_seq[keep]), pa.array([ids[k] for k in keep], pa.binary())], ["doc_id", "place", "th", "n_seq", "ids"])
+                columns = [b.column("doc_id").take(pa.array(keep)), pa.array(inside[keep]), pa.array(n_seq[keep]), pa.array([ids[k] for k in keep], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "inside", "n_seq", "ids"])
 
     return run
 
@@ -106,32 +107,30 @@ def _place(count: int, layout: Layout):
     return run
 
 
-def _before(rows: DataFrame, group: list, order: list[str], name: str) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``size`` over the rows of the group that come before."""
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum("size").over(upto), F.lit(0)).cast("long"))
+def in_order(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` by range of the unsigned hash of the id, the id and the text's hash, sorted within partitions.
+
+    Equal rows, however many, are told apart by a running number, so no group of them is one task's.
+    """
+    doc_id, spark = F.col("doc_id").cast("long"), docs.sparkSession
+    tasks = partitions_for(docs.count(), ROWS_PER_BUCKET, spark)
+    place = F.xxhash64(doc_id, doc_id.isNull()).bitwiseXOR(F.lit(-(1 << 63)))
+    rows = docs.filter("text <> ''").select(doc_id.alias("doc_id"), "text", place.alias("place"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64("text").alias("th"))
+    order = ["place", "id", "th", "nth"]
+    rows = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return rows.select("doc_id", "text")
 
 
-def first_numbers(coded: DataFrame) -> tuple[DataFrame, int]:
-    """``row, first`` (the number of its first sequence) for every row of the coded table, and the count of all sequences.
+def numbered(coded: DataFrame) -> tuple[DataFrame, int]:
+    """``coded`` with ``first`` (the number of a document's first sequence), and the count of all sequences.
 
-    Sizes are summed for equal rows, for buckets of places and for blocks of buckets: each window holds about
-    ``ROWS_PER_BUCKET`` rows or the root of the number of buckets. Equal rows, however many, go in ``PARTS`` parts.
+    Rows have ``inside``, the sequences before them in their partition ``part``; one number for each partition is broadcast.
     """
-    bits = max(2, (-(-coded.count() // ROWS_PER_BUCKET)).bit_length())
-    rows = coded.select("row", "place", "id", "th", "n_seq")
-    rows = rows.withColumns({"bucket": F.shiftrightunsigned("place", 64 - bits), "part": F.pmod(F.xxhash64("row"), F.lit(PARTS))})
-    key = ["bucket", "place", "id", "th", "n_seq", "part"]
-    groups = materialize(rows.groupBy(*key).agg(F.sum("n_seq").alias("size")), "token-groups")
-    buckets = groups.groupBy("bucket").agg(F.sum("size").alias("size")).withColumn("block", F.shiftright("bucket", bits // 2))
-    buckets = materialize(buckets, "token-buckets")
-    blocks = _before(buckets.groupBy("block").agg(F.sum("size").alias("size")), [F.lit(0)], ["block"], "block_first")
-    starts = _before(buckets, ["block"], ["bucket"], "bucket_first").join(blocks.select("block", "block_first"), "block")
-    starts = starts.select("bucket", (F.col("block_first") + F.col("bucket_first")).alias("start"))
-    groups = _before(groups, ["bucket"], key[1:], "inside").join(starts, "bucket").select(*key, (F.col("start") + F.col("inside")).alias("first"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("row")) - 1
-    out = rows.join(groups, key).select("row", (F.col("first") + nth * F.col("n_seq")).alias("first"))
-    return out, buckets.agg(F.sum("size")).first()[0] or 0
+    parts = coded.groupBy("part").agg(F.sum("n_seq").alias("size"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = materialize(parts.select("part", "size", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("start")), "token-parts")
+    rows = coded.join(F.broadcast(parts.select("part", "start")), "part")
+    return rows.withColumn("first", F.col("start") + F.col("inside")), parts.agg(F.sum("size")).first()[0] or 0
 
 
 def training_order(docs: DataFrame, layout: Layout | None = None, model: str = MODEL) -> DataFrame:
@@ -143,12 +142,9 @@ def training_order(docs: DataFrame, layout: Layout | None = None, model: str = M
     shared = shared_vocabulary(spark, model)
     if len(shared.value.pieces) > 1 << 16:
         raise ValueError("ids need more than two bytes")
-    doc_id = F.col("doc_id").cast("long")
-    docs = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, doc_id.isNull()).alias("place"), F.xxhash64("text").alias("th"), "text")
-    coded = docs.mapInArrow(_code(shared, layout), "doc_id long, place long, th long, n_seq long, ids binary")
-    coded = materialize(coded.withColumns({"row": F.monotonically_increasing_id(), "id": F.coalesce("doc_id", F.lit(0).cast("long"))}), "token-ids")
-    numbers, count = first_numbers(coded)
-    rows = coded.select("row", "doc_id", "n_seq", "ids").join(numbers, "row")
+    coded = in_order(docs).mapInArrow(_code(shared, layout), "doc_id long, inside long, n_seq long, ids binary")
+    rows, count = numbered(materialize(coded.withColumn("part", F.spark_partition_id()), "token-ids"))
+    rows = rows.select("doc_id", "n_seq", "ids", "first")
     rows = rows.mapInArrow(_place(count, layout), "slot long, doc_id long, seq_no int, n_tokens int, payload binary")
     shards = max(1, -(-count // layout.per_shard))
     tasks = min(shards, partitions_for(count * layout.stride, BYTES_PER_TASK, spark))

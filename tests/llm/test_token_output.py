@@ -60,3 +60,15 @@ def test_partitions_do_not_matter(spark, docs, monkeypatch):
 
 def test_empty_table(none):
     assert t.training_order(none).count() == 0
+
+
+def test_no_ids_cross_the_shuffle_before_their_slot(spark, docs, monkeypatch):
+    """Texts are put in order before they are coded, so numbers come by offsets of partitions; many equal rows are many tasks' work."""
+    monkeypatch.setattr(t, "ROWS_PER_BUCKET", 10)
+    copies = spark.range(200).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same words again' AS text")
+    rows = t.in_order(copies)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200 and max(sizes) < 100
+    plan = t.training_order(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange rangepartitioning") == 0
+    assert sorted(r.slot for r in t.training_order(copies).collect()) == list(range(200))
