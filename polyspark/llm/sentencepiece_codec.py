@@ -4,7 +4,8 @@ Spaces become the piece space mark and one is put in front, so decoding gives ba
 automaton yields, at each end position, all pieces that end there (by following output links); each relaxes the
 best score at its end. A character without a piece is spelt as byte pieces. Of equal scores the longer last piece
 wins. Texts are cut where no piece can cross (in front of a run of marks), and each part is segmented once per
-distinct string of a task: memory is bounded by ``MEMO_PARTS``.
+distinct string of a task: memory is bounded by ``MEMO_PARTS``. ``encode_column`` gives the same ids for a whole
+column: its distinct parts go through the same Viterbi side by side, over a trie in flat arrays.
 
 Cases: a null text has null ids and is counted as no pieces; an empty text has an empty list. A literal mark
 U+2581 in a text is spelt in bytes, so that it stays apart from a space. Rows are coded one by one, so
@@ -13,12 +14,15 @@ repeated rows, very long texts and other columns need no care.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import inf
 from struct import pack
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,8 @@ ESCAPED = "\ud800"
 MEMO_PARTS = 400_000
 #: Longest string whose parts are remembered.
 MEMO_CHARS = 64
+#: Parts of like length that ``encode_column`` segments side by side.
+PARTS_AT_ONCE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -91,6 +97,95 @@ class _Coded(dict):
         return raw
 
 
+class _Trie:
+    """The pieces spelt with ``singles`` as a trie in flat arrays, to walk many parts side by side.
+
+    The child of node ``x`` by a character of class ``c`` is ``base[x] + c`` if ``parent`` there is ``x``; the root is 0.
+    Class 0 stands for the end of a part and for characters without a piece: no node has such a child.
+    """
+
+    def __init__(self, v: Vocabulary, singles: set[str]):
+        classes = {c: k for k, c in enumerate(sorted(singles), 1)}
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[[ord(c) for c in classes]] = list(classes.values())
+        children, ends = [{}], {}
+        for i, (piece, ok) in enumerate(zip(v.pieces, v.usable)):
+            if ok and singles.issuperset(piece):
+                node = 0
+                for c in map(classes.__getitem__, piece):
+                    below = children[node]
+                    node = below.get(c)
+                    if node is None:
+                        node = below[c] = len(children)
+                        children.append({})
+                ends[node] = i, len(piece)
+        # nodes with many children first, so that a place for all of them is soon found
+        size = 4 * len(children) + len(classes) + 1
+        place, parent, base = [0] * len(children), [-1] * size, [0] * size
+        rng, homes = random.Random(0), size - len(classes)
+        inner = sorted((k for k, x in enumerate(children) if x), key=lambda k: -len(children[k]))
+        start = [0] * len(children)
+        for k in inner:
+            at = rng.randrange(homes)
+            while at == 0 or any(parent[at + c] >= 0 for c in children[k]):
+                at = rng.randrange(homes)
+            start[k] = at
+            for c, child in children[k].items():
+                parent[at + c], place[child] = k, at + c
+        for k in inner:
+            base[place[k]] = start[k]
+        self.base = np.array(base, np.int32)
+        self.parent = np.array([place[k] if k >= 0 else -1 for k in parent], np.int32)
+        self.score = np.full(size, -inf)
+        self.piece, self.length = np.zeros(size, "<u2"), np.zeros(size, np.int32)
+        for node, (i, n) in ends.items():
+            self.score[place[node]], self.piece[place[node]], self.length[place[node]] = v.scores[i], i, n
+
+    def segment(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best pieces of parts, joined, and how many each part has: ``Codec.viterbi`` for all parts at once.
+
+        ``classes`` are those of all characters, ``sizes`` the parts' lengths, descending. Of equal scores the longer last
+        piece wins, since earlier starts come first.
+        """
+        n, longest = len(sizes), int(sizes[0])
+        ends = np.cumsum(sizes)
+        grid = np.zeros((longest, n), np.int32)
+        grid[np.arange(len(classes)) - np.repeat(ends - sizes, sizes), np.repeat(np.arange(n), sizes)] = classes
+        best, came = np.full((longest + 1, n), -inf), np.zeros((longest + 1, n), np.int32)
+        best[0] = 0.0
+        for i in range(longest):
+            at = np.arange(np.searchsorted(-sizes, -i))
+            node = self.base[0] + grid[i].take(at)
+            for end in range(i + 1, longest + 1):
+                score = best[i].take(at) + self.score.take(node)
+                better = np.flatnonzero(score > best[end].take(at))
+                best[end][at.take(better)], came[end][at.take(better)] = score.take(better), node.take(better)
+                if end == longest:
+                    break
+                below = self.base.take(node) + grid[end].take(at)
+                go = np.flatnonzero(self.parent.take(below) == node)
+                if not len(go):
+                    break
+                at, node = at.take(go), below.take(go)
+        steps, left, todo = [], sizes.copy(), np.flatnonzero(sizes)
+        counts = np.zeros(n, np.int64)
+        while len(todo):
+            node = came[left[todo], todo]
+            steps.append((todo, node))
+            counts[todo] += 1
+            left[todo] -= self.length[node]
+            todo = todo[left[todo] > 0]
+        out, last = np.empty(counts.sum(), "<u2"), np.cumsum(counts) - 1
+        for k, (which, node) in enumerate(steps):
+            out[last[which] - k] = self.piece[node]
+        return out, counts
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    at = offsets.astype(np.int64 if pa.types.is_large_binary(kind) else np.int32)
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
 class Codec:
     """Built once per Python worker."""
 
@@ -186,6 +281,71 @@ class Codec:
             self.coded.clear()
         return b"".join(map(self.coded.__getitem__, parts))
 
+    @cached_property
+    def trie(self) -> _Trie:
+        return _Trie(self.v, self.singles)
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """``encode_bytes`` of a column (null: no bytes): each part that differs is segmented once, many side by side."""
+        known = pc.fill_null(pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring(texts, MARK))), False)
+        known = known.to_numpy(zero_copy_only=False) & (not self.crossing)
+        if not known.any():
+            return pa.array([self.encode_bytes(t or "") for t in texts.to_pylist()], pa.binary())
+        plain = self._encode_plain(texts.filter(pa.array(known)))
+        if known.all():
+            return plain
+        other = pa.array([self.encode_bytes(t or "") for t in texts.filter(pa.array(~known)).to_pylist()], pa.binary())
+        at = np.empty(len(known), np.int64)
+        at[np.flatnonzero(known)] = np.arange(len(plain))
+        at[np.flatnonzero(~known)] = len(plain) + np.arange(len(other))
+        return pa.concat_arrays([plain, other]).take(pa.array(at))
+
+    def _encode_plain(self, texts: pa.Array) -> pa.Array:
+        """For texts without a literal mark that are not empty. Parts are cut in bytes: 0xFF is in no text."""
+        cut, mark = b"\xff", MARK.encode()
+        marked = pc.replace_substring(texts.cast(pa.large_binary()), b" ", cut + mark)
+        marked = pc.replace_substring(pc.binary_replace_slice(marked, 0, 0, mark), mark + cut, mark)
+        if self.line_end is not None:
+            marked = pc.replace_substring(marked, b"\n", cut + b"\n" + cut)
+        parts = pc.split_pattern(marked, cut)
+        words = parts.values.dictionary_encode()
+        coded, place = self._code_parts(words.dictionary.cast(pa.large_string()).to_pylist())
+        joined = coded.take(pa.array(place[words.indices.to_numpy()]))
+        # what is taken lies end to end, so a text's bytes are those from its first part to its last
+        offsets = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)
+        return _binary(joined.buffers()[2], offsets[parts.offsets.to_numpy()], pa.binary())
+
+    def _code_parts(self, parts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The bytes of the parts, and the place of each part among them."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(-sizes, kind="stable")
+        n_long = int((sizes > MEMO_CHARS).sum())
+        out, counts, places = [], [], []
+
+        def one_by_one(which: np.ndarray) -> None:
+            ids = [self.viterbi(parts[k]) for k in which.tolist()]
+            out.extend(np.array(x, "<u2") for x in ids)
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            places.append(which)
+
+        one_by_one(order[:n_long])
+        for k in range(n_long, len(order), PARTS_AT_ONCE):
+            some = order[k : k + PARTS_AT_ONCE]
+            size = sizes[some]
+            classes = self.trie.class_of[np.frombuffer("".join([parts[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32)]
+            fits = np.ones(len(some), bool)
+            fits[np.repeat(np.arange(len(some)), size)[classes == 0]] = False
+            if fits.any():
+                ids, count = self.trie.segment(classes[np.repeat(fits, size)], size[fits])
+                out.append(ids)
+                counts.append(count)
+                places.append(some[fits])
+            one_by_one(some[~fits])
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate(places)] = np.arange(len(parts))
+        offsets = 2 * np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return _binary(np.concatenate(out), offsets, pa.large_binary()), place
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []

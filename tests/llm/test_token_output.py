@@ -2,6 +2,7 @@ import glob
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from polyspark.llm import sentencepiece_codec as sp
@@ -72,3 +73,23 @@ def test_no_ids_cross_the_shuffle_before_their_slot(spark, docs, monkeypatch):
     plan = t.training_order(docs)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("Exchange rangepartitioning") == 0
     assert sorted(r.slot for r in t.training_order(copies).collect()) == list(range(200))
+
+
+def test_columns_are_coded_side_by_side(spark, texts, monkeypatch):
+    """The bytes are those of text by text, but parts whose characters all have pieces are not segmented one by one."""
+    layout, many = t.Layout(seq_len=64), [" ".join(f"{a}w{b}," for b in "abcdefgh") for a in "ijklmnopqrst"]
+    awkward = ["  two  runs   of spaces  ", " ", "   ", "\n", "\n\n a\n b \n", "mark ▁ and ▁▁", "▁", "x" * 200 + " y" * 3, "\x00 \ufffd \x7f", "日本語 のテキスト", "tab\tand 🙂", "ends in a line\n"]
+    all_texts, codec = [*texts, *awkward, *many], sp.Codec(sp.load_vocabulary())
+    want = [codec.encode_bytes(x) if x else b"" for x in all_texts]
+    assert want == [np.array(codec.encode(x or ""), "<u2").tobytes() for x in all_texts]
+    for some in (slice(None), slice(3, 40), slice(0, 2), slice(5, 6), slice(0, 0)):
+        column = pa.array(["other", *all_texts])[1:][some]
+        monkeypatch.setattr(sp, "PARTS_AT_ONCE", 7 if some.start else 1 << 14)
+        assert codec.encode_column(column).to_pylist() == want[some]
+    alone = []
+    monkeypatch.setattr(sp.Codec, "viterbi", lambda self, s: alone.append(s) or [0])
+    monkeypatch.setattr(sp, "_CODECS", {})
+    shared = type("Shared", (), {"value": sp.load_vocabulary()})()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(many)), pa.int64()), pa.array(many)], ["doc_id", "text"])
+    (coded,) = t._code(shared, layout)(iter([batch]))
+    assert coded.column("ids").to_pylist() == want[-len(many) :] and alone == []
